@@ -33,7 +33,7 @@ def land_lines(rolled: DataFrame, path: str, value: str = "value") -> None:
     (
         rolled.filter("published")
         .select(F.col(value).alias("value"), "file_no", "line_no")
-        .repartitionByRange("file_no")
+        .repartition("file_no")
         .sortWithinPartitions("file_no", "line_no")
         .select("value", "file_no")
         .write.partitionBy("file_no")

@@ -34,6 +34,9 @@ def match_rules(
         if not tags:
             return posts
     if fits_broadcast(size):
-        return posts.join(F.broadcast(named), account, how)
-    spread_by = [F.col(c) for c in posts.columns if c != account] or [F.monotonically_increasing_id()]
-    return salted_join(posts, named, account, how, spread_by)
+        matched = posts.join(F.broadcast(named), account, how)
+    else:
+        others = [F.col(c) for c in posts.columns if c != account]
+        spread_by = others or [F.monotonically_increasing_id()]
+        matched = salted_join(posts, named, account, how, spread_by)
+    return matched.select(*posts.columns, *(["tag"] if tags else []))

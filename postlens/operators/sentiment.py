@@ -37,7 +37,7 @@ from ..sizing import fits_broadcast, measure, salted_join
 
 # Up to here the lexicon travels inside the plan; published lexicons have 5,000 to 15,000 words.
 ROW_WORDS = 20_000
-ROW_BYTES = 1024 * 1024
+WORD_BYTES = 256
 
 EDGES = ("clean", "as_reference")
 STRATEGIES = ("auto", "row", "broadcast", "salted")
@@ -55,7 +55,6 @@ def prepare_lexicon(
     lexicon: DataFrame | Lookup,
     strategy: str = "auto",
     row_words: int = ROW_WORDS,
-    row_bytes: int = ROW_BYTES,
 ) -> Lookup:
     """Drop the entries that count as not found and choose a plan by what is left.
 
@@ -69,12 +68,11 @@ def prepare_lexicon(
     table = lexicon.filter(
         F.col("word").isNotNull() & F.col("polarity").isNotNull() & (F.col("polarity") != "")
     ).select("word", "polarity")
+    if strategy in ("auto", "row"):
+        words = _few_words(table, row_words)
+        if words is not None:
+            return Lookup("row", table, words)
     size = measure(table)
-    if strategy in ("auto", "row") and size.rows <= row_words and size.bytes <= row_bytes:
-        words: dict[str, list[str]] = {}
-        for row in table.collect():
-            words.setdefault(row.polarity, []).append(row.word)
-        return Lookup("row", table, words)
     if strategy in ("auto", "broadcast") and fits_broadcast(size):
         return Lookup("broadcast", table, {})
     if strategy in ("row", "broadcast"):
@@ -82,6 +80,21 @@ def prepare_lexicon(
     return Lookup("salted", table, {})
 
 
+def _few_words(table: DataFrame, most: int) -> dict[str, list[str]] | None:
+    """Words by polarity, or None when there are more than `most` or any is very long.
+
+    What reaches the driver is bounded in rows and in bytes: a long value comes as NULL.
+    """
+    short = [F.when(F.octet_length(c) <= WORD_BYTES, F.col(c)).alias(c) for c in table.columns]
+    head = table.select(*short).limit(most + 1).collect()
+    if len(head) > most or any(row.word is None or row.polarity is None for row in head):
+        return None
+    words: dict[str, list[str]] = {}
+    for row in head:
+        words.setdefault(row.polarity, []).append(row.word)
+    return words
+
+
 def label_posts(
     posts: DataFrame,
     lexicon: DataFrame | Lookup,

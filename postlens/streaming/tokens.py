@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,11 +29,30 @@ def start_tokens(
         .option("path", path)
         .option("checkpointLocation", checkpoint)
     )
-    if row_group_bytes is not None:
-        writer = writer.option("parquet.block.size", row_group_bytes)
     if available_now:
         writer = writer.trigger(availableNow=True)
-    return writer.start()
+    if row_group_bytes is None:
+        return writer.start()
+    with _session_setting(rows.sparkSession, "parquet.block.size", row_group_bytes):
+        return writer.start()
+
+
+@contextmanager
+def _session_setting(spark: SparkSession, name: str, value: int) -> Iterator[None]:
+    """Set a writer property while a stream starts.
+
+    The streaming file sink takes such properties from the session, once, when the
+    query starts. Options of the stream do not reach the writer.
+    """
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(value))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def stream_tokens(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:

@@ -1,0 +1,120 @@
+import json
+
+import pytest
+
+from postlens.operators import match_rules
+from postlens.plans import account_report
+from postlens.sample_lexicon import sample_lines
+from postlens.sources import (
+    has_next,
+    page_posts,
+    parse_pages,
+    parse_rule_responses,
+    read_pages,
+    rule_ids,
+    rules_table,
+    union_posts,
+)
+
+POST_A = {"id": "1", "text": "so good today"}
+POST_B = {"id": "2", "text": "so bad today", "lang": "en"}
+PAGES = [
+    {"data": [POST_A, POST_B], "meta": {"next_token": "n1", "result_count": 2}},
+    {"meta": {"result_count": 0, "next_token": "n2"}},
+    {"data": [POST_A, {"id": "3"}], "meta": {"result_count": 2}},
+]
+
+
+@pytest.fixture
+def stored(tmp_path):
+    for i, page in enumerate(PAGES):
+        (tmp_path / f"page-{i}.json").write_text(json.dumps(page))
+    return str(tmp_path)
+
+
+def test_all_pages_give_one_bag_of_posts(spark, stored):
+    posts = page_posts(read_pages(spark, stored))
+    assert posts.columns == ["id", "text"]
+    assert sorted(r.id for r in posts.collect()) == ["1", "1", "2", "3"]
+
+
+def test_pages_over_several_lines(spark, tmp_path):
+    (tmp_path / "page.json").write_text(json.dumps(PAGES[0], indent=2))
+    assert page_posts(read_pages(spark, str(tmp_path), multi_line=True)).count() == 2
+
+
+def test_pages_held_as_strings(spark):
+    rows = [(i, json.dumps(p)) for i, p in enumerate(PAGES)] + [(3, "no json"), (4, None)]
+    pages = parse_pages(spark.createDataFrame(rows, "page int, value string"))
+    assert [(r.page, r.n) for r in pages.select("page", has_next().alias("n")).collect()] == [
+        (0, True), (1, True), (2, False), (3, False), (4, False)
+    ]
+    assert page_posts(pages).count() == 4
+
+
+def test_union_by_name_keeps_copies(spark):
+    a = spark.createDataFrame([("1", "x")], "id string, text string")
+    b = spark.createDataFrame([("x", "en", "1")], "text string, lang string, id string")
+    both = union_posts(a, b, a)
+    assert both.columns == ["id", "text", "lang"]
+    assert sorted(map(tuple, both.fillna("").collect())) == [
+        ("1", "x", ""), ("1", "x", ""), ("1", "x", "en")
+    ]
+
+
+def test_account_report(spark, stored, tmp_path_factory):
+    lexicon = tmp_path_factory.mktemp("lexicon") / "lexicon.txt"
+    lexicon.write_text("\n".join(sample_lines()))
+    report = account_report(spark, stored, str(lexicon))
+    assert [tuple(r) for r in report.collect()] == [
+        ("mixed", 1, 25.0), ("negative", 1, 25.0), ("positive", 2, 50.0)
+    ]
+
+
+def test_rule_ids(spark):
+    responses = [
+        '{"data":[{"id":"7"},{"id":"8"}],"meta":{"sent":"now"}}',
+        '{"meta":{"sent":"now"}}',
+        '{"data":[{"id":"9"}]}',
+        "broken",
+    ]
+    rows = spark.createDataFrame([(r,) for r in responses], "value string")
+    assert [r.id for r in rule_ids(parse_rule_responses(rows)).collect()] == ["7", "8"]
+
+
+POSTS = [(1, "a"), (2, "b"), (3, "c"), (4, None), (5, "a")]
+
+
+@pytest.fixture(params=["filter", "broadcast", "salted"])
+def sized(request, monkeypatch):
+    """The plan for few rules, for many, and for too many to broadcast."""
+    if request.param != "filter":
+        monkeypatch.setattr("postlens.operators.rules.FILTER_RULES", 0)
+    if request.param == "salted":
+        monkeypatch.setattr("postlens.sizing.BROADCAST_ROWS", 0)
+    return request.param
+
+
+def test_match_rules(spark, sized):
+    posts = spark.createDataFrame(POSTS, "id int, account string")
+    rules = rules_table(spark, {"from:a": "A", "from:c": "C", "to:b": "B", "from:z": "Z"})
+    tagged = match_rules(posts, rules)
+    assert sorted((r.id, r.tag) for r in tagged.collect()) == [(1, "A"), (3, "C"), (5, "A")]
+    kept = match_rules(posts, rules, tags=False)
+    assert kept.columns == posts.columns
+    assert sorted(r.id for r in kept.collect()) == [1, 3, 5]
+
+
+def test_a_post_matches_every_rule_for_its_account(spark, sized):
+    posts = spark.createDataFrame(POSTS, "id int, account string")
+    rules = spark.createDataFrame([("from:a", "A"), ("from:a", "B")], "value string, tag string")
+    assert sorted((r.id, r.tag) for r in match_rules(posts, rules).collect()) == [
+        (1, "A"), (1, "B"), (5, "A"), (5, "B")
+    ]
+    assert sorted(r.id for r in match_rules(posts, rules, tags=False).collect()) == [1, 5]
+
+
+def test_no_rules(spark, sized):
+    posts = spark.createDataFrame(POSTS, "id int, account string")
+    assert match_rules(posts, rules_table(spark, {})).isEmpty()
+    assert match_rules(posts, rules_table(spark, {}), tags=False).isEmpty()

@@ -45,11 +45,12 @@ def salted_join(
     """Shuffle join that splits every key of `facts` into `salts` parts.
 
     The salt is a hash of row values, not a random number, so a task that is run
-    again sends its rows to the same places. `dim` is repeated once per salt.
+    again sends its rows to the same places. `dim` is repeated once per salt. It is
+    known not to fit a broadcast, so the sort-merge join, which can spill, is asked for.
     """
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [on, "_salt"], how).drop("_salt")
+    return salted.join(repeated.hint("merge"), [on, "_salt"], how).drop("_salt")
 
 
 def spread(scan: DataFrame) -> DataFrame:

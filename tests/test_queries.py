@@ -1,0 +1,50 @@
+"""Every registered query against its SQL, in DuckDB, over the same tables."""
+
+import duckdb
+import pytest
+
+import __spark_entry__ as registry
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events "
+    "documents embeddings pages benchmark labels conversations"
+).split()
+
+
+@pytest.fixture(scope="module")
+def folder(sf001):
+    return sf001
+
+
+@pytest.fixture(scope="module")
+def duck(folder):
+    connection = duckdb.connect()
+    for table in TABLES:
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    yield connection
+    connection.close()
+
+
+def comparable(rows, columns):
+    order = [columns.index(name) for name in sorted(columns)]
+    cut = [tuple(row[i] for i in order) for row in rows]
+    return sorted(cut, key=lambda row: [(value is None, str(value)) for value in row])
+
+
+def test_every_query_has_an_oracle():
+    assert registry.queries().keys() == registry.oracle_sql().keys()
+
+
+@pytest.mark.parametrize("name", registry.queries())
+def test_query(spark, duck, folder, name):
+    result = registry.queries()[name](spark, folder)
+    rows = [tuple(row) for row in result.collect()]
+    cursor = duck.execute(registry.oracle_sql()[name])
+    expected, names = cursor.fetchall(), [column[0] for column in cursor.description]
+    assert sorted(result.columns) == sorted(names)
+    assert rows, "an empty result would prove nothing"
+    assert comparable(rows, result.columns) == comparable(expected, names)
+
+
+def test_entry(spark):
+    assert registry.entry(spark).columns == ["label", "n", "pct"]

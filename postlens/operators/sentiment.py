@@ -156,7 +156,7 @@ def _score_in_row(counted: DataFrame, lookup: Lookup, keys: list[str]) -> DataFr
         if polarity in sets
     ]
     polarities = [
-        f"WHEN _scored[0] IN ({words}) THEN {_constants([polarity])}"
+        f"WHEN get(_scored, 0) IN ({words}) THEN {_constants([polarity])}"
         for polarity, words in sets.items()
     ]
     total = (

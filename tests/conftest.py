@@ -1,5 +1,4 @@
 import sys
-import tempfile
 from pathlib import Path
 
 import pytest
@@ -20,7 +19,6 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="postlens-tests-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
@@ -37,17 +35,17 @@ def lexicon(spark):
 
 
 @pytest.fixture(scope="session")
-def sf001():
+def sf_dir():
     return str(TESTDATA / "sf0.01")
 
 
 @pytest.fixture(scope="session")
-def documents(spark, sf001):
-    return spark.read.parquet(f"{sf001}/documents.parquet")
+def documents(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 @pytest.fixture(scope="session")
-def parts(spark, sf001):
-    return spark.read.parquet(f"{sf001}/part.parquet").selectExpr(
+def parts(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(
         "p_partkey AS id", "p_type", "concat(p_name, ' ', p_type) AS text"
     )

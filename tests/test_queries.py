@@ -12,8 +12,8 @@ TABLES = (
 
 
 @pytest.fixture(scope="module")
-def folder(sf001):
-    return sf001
+def folder(sf_dir):
+    return sf_dir
 
 
 @pytest.fixture(scope="module")

@@ -1,4 +1,4 @@
-"""Command line: ``spark-submit`` this file's package with one of four jobs.
+"""Command line, for ``spark-submit`` or ``python -m``.
 
 Master and resources come from spark-submit.
 """
@@ -10,7 +10,22 @@ import argparse
 from pyspark.sql import SparkSession
 
 from postlens.operators import console_form
-from postlens.plans import account_report, lake_report, land_stream, score_lake, tokenize_lake
+from postlens.plans import (
+    account_report,
+    labels_report,
+    lake_report,
+    land_files,
+    land_live,
+    score_lake,
+    tokenize_lake,
+)
+
+REPORTS = {
+    "account-report": account_report,
+    "lake-report": lake_report,
+    "labels-report": labels_report,
+}
+STREAMS = {"land-live": land_live, "tokenize": tokenize_lake, "score": score_lake}
 
 
 def arguments() -> argparse.Namespace:
@@ -28,6 +43,13 @@ def arguments() -> argparse.Namespace:
     land.add_argument("path")
     land.add_argument("--per-file", type=int, default=10)
 
+    live = jobs.add_parser("land-live", help="text lines to landing files, as a stream")
+    live.add_argument("lines")
+    live.add_argument("path")
+    live.add_argument("checkpoint")
+    live.add_argument("--per-file", type=int, default=10)
+    live.add_argument("--available-now", action="store_true", help="stop at the end of the input")
+
     tokenize = jobs.add_parser("tokenize", help="landed JSON lines to a token table, as a stream")
     tokenize.add_argument("lines")
     tokenize.add_argument("path")
@@ -42,6 +64,9 @@ def arguments() -> argparse.Namespace:
     lake.add_argument("lexicon")
     lake.add_argument("--edges", default="clean", choices=("clean", "as_reference"))
 
+    labels = jobs.add_parser("labels-report", help="the labels written so far to a share report")
+    labels.add_argument("labels")
+
     score = jobs.add_parser("score", help="a token table to labels, as a stream")
     score.add_argument("tokens")
     score.add_argument("lexicon")
@@ -57,15 +82,12 @@ def main() -> None:
     options = vars(arguments())
     job = options.pop("job")
     spark = SparkSession.builder.appName(f"postlens {job}").getOrCreate()
-    if job == "account-report":
-        console_form(account_report(spark, **options)).show(truncate=False)
-    elif job == "lake-report":
-        console_form(lake_report(spark, **options)).show(truncate=False)
-    elif job == "land":
-        land_stream(spark, **options)
+    if job in REPORTS:
+        console_form(REPORTS[job](spark, **options)).show(truncate=False)
+    elif job in STREAMS:
+        STREAMS[job](spark, **options).awaitTermination()
     else:
-        start = tokenize_lake if job == "tokenize" else score_lake
-        start(spark, **options).awaitTermination()
+        land_files(spark, **options)
 
 
 if __name__ == "__main__":

@@ -1,5 +1,21 @@
 """Whole jobs, from files to a report or a table."""
 
-from .jobs import account_report, lake_report, land_stream, score_lake, tokenize_lake
+from .jobs import (
+    account_report,
+    labels_report,
+    lake_report,
+    land_files,
+    land_live,
+    score_lake,
+    tokenize_lake,
+)
 
-__all__ = ["account_report", "lake_report", "land_stream", "score_lake", "tokenize_lake"]
+__all__ = [
+    "account_report",
+    "labels_report",
+    "lake_report",
+    "land_files",
+    "land_live",
+    "score_lake",
+    "tokenize_lake",
+]

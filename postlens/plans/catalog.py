@@ -47,15 +47,17 @@ from ..sources import (
     read_lines,
     read_pages,
     read_positional_fields,
+    read_rules,
     read_tokens,
     rule_ids,
     rules_table,
+    store_rules,
     union_posts,
     word_polarity,
 )
 from ..streaming import read_labels, run_available
 from ..workspace import new_folder
-from .jobs import account_report, lake_report, score_lake, tokenize_lake
+from .jobs import account_report, labels_report, lake_report, land_live, score_lake, tokenize_lake
 
 STREAM_TIMEOUT = 6 * 60 * 60
 ROW_GROUP_BYTES = 1024 * 1024
@@ -296,14 +298,22 @@ def rules_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ids(responses)
 
 
+def _stored_rules(spark: SparkSession) -> DataFrame:
+    """The rules, stored in place of earlier ones."""
+    path = new_folder(spark, "rules")
+    store_rules(rules_table(spark, {"from:src3": "an earlier rule"}), path)
+    store_rules(rules_table(spark, RULES), path)
+    return read_rules(spark, path)
+
+
 def matched_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
-    return match_rules(posts, rules_table(spark, RULES), "source").select("doc_id", "source", "tag")
+    return match_rules(posts, _stored_rules(spark), "source").select("doc_id", "source", "tag")
 
 
 def ruled_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
-    return match_rules(posts, rules_table(spark, RULES), "source", tags=False)
+    return match_rules(posts, _stored_rules(spark), "source", tags=False)
 
 
 # JSON lines, streams
@@ -352,7 +362,7 @@ def stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lake_report(spark, _token_lake(spark, sf_dir), _sample_lexicon_file(spark))
 
 
-def stream_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _streamed_labels(spark: SparkSession, sf_dir: str) -> str:
     path = new_folder(spark, "labels")
     stream = score_lake(
         spark,
@@ -363,7 +373,15 @@ def stream_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         available_now=True,
     )
     run_available(stream, STREAM_TIMEOUT)
-    return read_labels(spark, path).select("id", "score", "label")
+    return path
+
+
+def stream_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_labels(spark, _streamed_labels(spark, sf_dir)).select("id", "score", "label")
+
+
+def stream_labels_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels_report(spark, _streamed_labels(spark, sf_dir))
 
 
 def sink_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,6 +416,24 @@ def landed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _documents(spark, sf_dir).select(F.to_json(F.struct(_stream_line())).alias("value"))
     path = new_folder(spark, "chunks")
     land_chunks(lines, path, LINES_PER_FILE)
+    return _file_sizes(spark, path)
+
+
+def stream_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "live")
+    stream = land_live(
+        spark,
+        _landed_documents(spark, sf_dir),
+        path,
+        new_folder(spark, "live-checkpoint"),
+        LINES_PER_FILE,
+        available_now=True,
+    )
+    run_available(stream, STREAM_TIMEOUT)
+    return _file_sizes(spark, path)
+
+
+def _file_sizes(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).count()
     return files.agg(F.sum("count").alias("n_lines"), F.max("count").alias("most_lines"))
 
@@ -434,6 +470,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_tokens": streamed_tokens,
     "stream_report": stream_report,
     "stream_labels": stream_labels,
+    "stream_labels_report": stream_labels_report,
+    "stream_landing": stream_landing,
     "sink_row_groups": sink_row_groups,
     "roll_files": rolled_files,
     "land_lines": landed_lines,

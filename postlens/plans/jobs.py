@@ -1,4 +1,4 @@
-"""The four jobs, as functions of a session and paths.
+"""The jobs, as functions of a session and paths.
 
 Reports are returned as DataFrames; nothing is computed before the caller acts on
 them, apart from the size check of the lexicon.
@@ -18,6 +18,7 @@ from ..operators import (
     number_lines,
     roll_files,
 )
+from ..operators.landing import LINES_PER_FILE
 from ..sizing import spread
 from ..sources import (
     page_posts,
@@ -27,7 +28,7 @@ from ..sources import (
     stream_lines,
     token_rows,
 )
-from ..streaming import start_labels, start_tokens, stream_tokens
+from ..streaming import read_labels, start_labels, start_landing, start_tokens, stream_tokens
 
 
 def account_report(
@@ -43,7 +44,7 @@ def account_report(
     return label_report(label_posts(posts, words, "ws", edges), "label")
 
 
-def land_stream(spark: SparkSession, lines: str, path: str, per_file: int = 10) -> None:
+def land_files(spark: SparkSession, lines: str, path: str, per_file: int = LINES_PER_FILE) -> None:
     """Text lines to published landing files, numbered in the order of the input files."""
     raw = spark.read.text(lines).select(
         "value",
@@ -54,6 +55,18 @@ def land_stream(spark: SparkSession, lines: str, path: str, per_file: int = 10)
     land_lines(roll_files(number_lines(raw, ["file", "block", "line"]), per_file), path)
 
 
+def land_live(
+    spark: SparkSession,
+    lines: str,
+    path: str,
+    checkpoint: str,
+    per_file: int = LINES_PER_FILE,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Text lines to landing files as they arrive, as a running stream."""
+    return start_landing(spark.readStream.text(lines), path, checkpoint, per_file, available_now)
+
+
 def tokenize_lake(
     spark: SparkSession,
     lines: str,
@@ -92,3 +105,8 @@ def score_lake(
     return start_labels(
         stream_tokens(spark, tokens, max_files), words, path, checkpoint, edges, available_now
     )
+
+
+def labels_report(spark: SparkSession, labels: str) -> DataFrame:
+    """The labels that `score_lake` has written so far to a share report, largest share first."""
+    return label_report(read_labels(spark, labels), "share")

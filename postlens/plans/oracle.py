@@ -148,6 +148,9 @@ WHERE 'from:' || source IN (SELECT value FROM (VALUES {_RULE_VALUES}) rules(valu
     "stream_tokens": _token_counts("documents", _NW.format("text")),
     "stream_report": _LAKE + _REPORT + "pct DESC, label",
     "stream_labels": _LAKE + "SELECT CAST(doc_id AS VARCHAR) AS id, score, label FROM labels",
+    "stream_labels_report": _LAKE + _REPORT + "pct DESC, label",
+    "stream_landing": f"""SELECT count(*) AS n_lines, least({LINES_PER_FILE}, count(*)) AS most_lines
+FROM documents""",
     "sink_row_groups": f"""SELECT CAST(doc_id AS VARCHAR) AS id, len({_NW.format("text")}) AS n_tokens
 FROM documents""",
     "roll_files": f"""WITH {_ROLLED}

@@ -44,7 +44,10 @@ def sample_raw(spark: SparkSession) -> DataFrame:
 def sample_fields(spark: SparkSession) -> DataFrame:
     """The same lines cut at spaces, as `parse_positional` takes them."""
     rows = [line.split(" ") for line in sample_lines()]
-    at = lambda i: pa.array([row[i] if i < len(row) else None for row in rows], pa.string())
+
+    def at(i: int) -> pa.Array:
+        return pa.array([row[i] if i < len(row) else None for row in rows], pa.string())
+
     return spark.createDataFrame(
         pa.table(
             {

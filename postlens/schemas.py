@@ -4,7 +4,7 @@ Every scan gets one of these, so no job is spent on inference and a field that
 is absent from the input is a NULL instead of an analysis error.
 """
 
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 POST = StructType([StructField("id", StringType()), StructField("text", StringType())])
 
@@ -37,8 +37,6 @@ LEXICON_FIELDS = StructType(
     ]
 )
 
-LEXICON_RAW = StructType([StructField("ord", LongType()), StructField("value", StringType())])
-
 TOKEN_ROWS = StructType(
     [StructField("id", StringType()), StructField("text", ArrayType(StringType()))]
 )

@@ -11,7 +11,7 @@ from .lexicon import (
 )
 from .lines import infer_schema, read_lines, stream_lines, token_rows
 from .pages import has_next, page_posts, parse_pages, read_pages, union_posts
-from .rules import parse_rule_responses, rule_ids, rules_table
+from .rules import parse_rule_responses, read_rules, rule_ids, rules_table, store_rules
 from .tables import read_tokens
 
 __all__ = [
@@ -28,9 +28,11 @@ __all__ = [
     "read_lines",
     "read_pages",
     "read_positional_fields",
+    "read_rules",
     "read_tokens",
     "rule_ids",
     "rules_table",
+    "store_rules",
     "stream_lines",
     "token_rows",
     "union_posts",

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import RULES_RESPONSE
+from ..schemas import RULES, RULES_RESPONSE
 
 
 def rules_table(spark: SparkSession, rules: Mapping[str, str]) -> DataFrame:
@@ -24,6 +24,15 @@ def rules_table(spark: SparkSession, rules: Mapping[str, str]) -> DataFrame:
     )
 
 
+def store_rules(rules: DataFrame, path: str) -> None:
+    """Make these the rules in force, in place of the ones stored before."""
+    rules.select(RULES.names).write.mode("overwrite").json(path)
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(RULES).json(path)
+
+
 def parse_rule_responses(documents: DataFrame, column: str = "value") -> DataFrame:
     parsed = documents.withColumn("_response", F.from_json(column, RULES_RESPONSE))
     return parsed.select(*[c for c in documents.columns if c != column], "_response.*")

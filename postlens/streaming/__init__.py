@@ -1,7 +1,15 @@
-"""Streams: JSON lines to token tables, token tables to labels."""
+"""Streams: text lines to landing files, JSON lines to token tables, token tables to labels."""
 
 from .labels import read_labels, start_labels
+from .landing import start_landing
 from .run import run_available
 from .tokens import start_tokens, stream_tokens
 
-__all__ = ["read_labels", "run_available", "start_labels", "start_tokens", "stream_tokens"]
+__all__ = [
+    "read_labels",
+    "run_available",
+    "start_labels",
+    "start_landing",
+    "start_tokens",
+    "stream_tokens",
+]

@@ -47,9 +47,11 @@ def test_the_jobs_in_their_order(run, tmp_path, capfd):
     run("tokenize", tmp_path / "landed", tmp_path / "tokens", tmp_path / "ck", "--available-now")
     run("score", tmp_path / "tokens", lexicon, tmp_path / "labels", tmp_path / "ck2", "--available-now")
     assert list((tmp_path / "labels").glob("batch_id=*"))
+    run("labels-report", tmp_path / "labels")
+    scored = capfd.readouterr().out
     run("lake-report", tmp_path / "tokens", lexicon)
     printed = capfd.readouterr().out
-    assert "Percentage(%)" in printed
+    assert printed == scored and "Percentage(%)" in printed
     shares = [line.split("|")[1:4] for line in printed.splitlines() if line.startswith("|")][1:]
     # 29 of 30 lines are in published files
     assert [[cell.strip() for cell in row] for row in shares] == [

@@ -6,7 +6,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from postlens.operators import file_summary, land_chunks, land_lines, number_lines, roll_files
-from postlens.plans import land_stream
+from postlens.plans import land_files, land_live, tokenize_lake
+from postlens.sources import read_tokens
+from postlens.streaming import run_available
 
 
 def files(path):
@@ -61,7 +63,7 @@ def test_landing_twice_is_an_error(spark, tmp_path):
         land_lines(rolled, str(tmp_path / "out"))
 
 
-def test_land_stream_numbers_in_file_order(spark, tmp_path):
+def test_land_files_numbers_in_file_order(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
     lines = [json.dumps({"data": {"id": str(i)}}) for i in range(1, 1001)]
@@ -69,7 +71,7 @@ def test_land_stream_numbers_in_file_order(spark, tmp_path):
     (source / "b").write_text("\n".join(lines[600:]) + "\n")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
     try:
-        land_stream(spark, str(source), str(tmp_path / "out"), per_file=100)
+        land_files(spark, str(source), str(tmp_path / "out"), per_file=100)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     landed = files(tmp_path / "out")
@@ -83,3 +85,25 @@ def test_chunks(spark, tmp_path):
     texts = [p.read_text().splitlines() for p in (tmp_path / "out").glob("part-*")]
     assert max(map(len, texts)) == 10
     assert sorted(int(x) for t in texts for x in t) == list(range(1_000))
+
+
+def test_live_landing_feeds_the_tokenizer_once(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    number = 0
+    for batch in range(3):
+        lines = []
+        for _ in range(47):
+            lines.append(json.dumps({"data": {"id": str(number), "text": f"post {number}"}}))
+            number += 1
+        (source / f"{batch}.json").write_text("\n".join(lines) + "\n")
+        for start, path, out in ((land_live, source, "landed"), (tokenize_lake, tmp_path / "landed", "tokens")):
+            stream = start(
+                spark, str(path), str(tmp_path / out), str(tmp_path / f"{out}-ck"), available_now=True
+            )
+            run_available(stream, 120)
+    landed = [p.read_text().splitlines() for p in (tmp_path / "landed").glob("part-*")]
+    assert max(map(len, landed)) == 10 and sum(map(len, landed)) == 3 * 47
+    tokens = read_tokens(spark, str(tmp_path / "tokens")).collect()
+    assert sorted(int(r.id) for r in tokens) == list(range(3 * 47))
+    assert all(r.text == ["post", r.id] for r in tokens)

@@ -11,8 +11,10 @@ from postlens.sources import (
     parse_pages,
     parse_rule_responses,
     read_pages,
+    read_rules,
     rule_ids,
     rules_table,
+    store_rules,
     union_posts,
 )
 
@@ -114,6 +116,12 @@ def test_a_post_matches_every_rule_for_its_account(spark, sized):
     assert sorted(r.id for r in match_rules(posts, rules, tags=False).collect()) == [1, 5]
 
 
+def test_stored_rules_replace_the_ones_before(spark, tmp_path):
+    for rules in ({"from:a": "A", "from:b": "B"}, {"from:c": "C"}):
+        store_rules(rules_table(spark, rules), str(tmp_path / "rules"))
+    assert [tuple(r) for r in read_rules(spark, str(tmp_path / "rules")).collect()] == [("from:c", "C")]
+
+
 def test_no_rules(spark, sized):
     posts = spark.createDataFrame(POSTS, "id int, account string")
     assert match_rules(posts, rules_table(spark, {})).isEmpty()

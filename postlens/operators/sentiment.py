@@ -58,6 +58,8 @@ def prepare_lexicon(
 ) -> Lookup:
     """Drop the entries that count as not found and choose a plan by what is left.
 
+    `lexicon` has one row per word, as `first_polarity` gives it.
+
     The words reach the driver only once they are known to be few. A named strategy
     is taken only where the lexicon fits it.
     """
@@ -124,18 +126,19 @@ def label_tokens(
         raise ValueError(f"edges must be one of {EDGES}, not {edges!r}")
     lookup = prepare_lexicon(lexicon)
     keys = [key] if isinstance(key, str) else list(key)
-    if edges == "clean":
-        counted = posts.select(*keys, without_empty(F.col(tokens)).alias("_scored"))
-        counted = counted.withColumn("_n", F.size("_scored"))
-    else:
-        counted = posts.select(*keys, F.col(tokens).alias("_all")).select(
-            *keys,
-            F.size("_all").alias("_n"),
-            F.when(F.size("_all") > 1, F.slice("_all", 2, F.size("_all") - 2)).alias("_scored"),
-        )
+    dropped = without_empty(F.col(tokens)) if edges == "clean" else F.col(tokens)
+    cut = posts.select(*keys, dropped.alias("_tokens"))
     score = _score_in_row if lookup.strategy == "row" else _score_by_join
-    scored = score(counted, lookup, keys)
-    return scored.select(*keys, "score", _label(edges).alias("label"))
+    return score(cut, lookup, keys, edges).select(*keys, "score", _label(edges).alias("label"))
+
+
+# The tokens that are looked up, by edge mode.
+_SCORED = {
+    "clean": "_tokens",
+    "as_reference": (
+        "CASE WHEN array_size(_tokens) > 1 THEN slice(_tokens, 2, array_size(_tokens) - 2) END"
+    ),
+}
 
 
 def _label(edges: str) -> Column:
@@ -148,28 +151,27 @@ def _label(edges: str) -> Column:
     return label.otherwise("mixed")
 
 
-def _score_in_row(counted: DataFrame, lookup: Lookup, keys: list[str]) -> DataFrame:
+def _score_in_row(cut: DataFrame, lookup: Lookup, keys: list[str], edges: str) -> DataFrame:
+    """`_n`, `score` and `_polarity` per post, by sets of constants."""
     sets = {polarity: _constants(words) for polarity, words in lookup.words.items()}
-    points = [
-        f"WHEN token IN ({sets[polarity]}) THEN {value}"
-        for polarity, value in (("positive", 1), ("negative", -1))
-        if polarity in sets
-    ]
-    polarities = [
-        f"WHEN get(_scored, 0) IN ({words}) THEN {_constants([polarity])}"
+    # Most tokens are in neither set, so one lookup in their union settles them.
+    signed = [sets[polarity] for polarity in ("positive", "negative") if polarity in sets]
+    hit = f"token IN ({', '.join(signed)})" if signed else "false"
+    up = f"token IN ({sets['positive']})" if "positive" in sets else "false"
+    own = " ".join(
+        f"WHEN get(_tokens, 0) IN ({words}) THEN {_constants([polarity])}"
         for polarity, words in sets.items()
-    ]
-    total = (
-        f"aggregate(_scored, 0L, (sum, token) -> sum + CASE {' '.join(points)} ELSE 0 END)"
-        if points
-        else "0L"
     )
-    own = f"CASE {' '.join(polarities)} END" if polarities else "CAST(NULL AS STRING)"
-    return counted.select(
+    polarity = f"CASE WHEN array_size(_tokens) = 1 THEN CASE {own} END END" if own else "NULL"
+    hits = cut.select(
         *keys,
-        "_n",
-        F.expr(f"coalesce({total}, 0L)").alias("score"),
-        F.expr(f"CASE WHEN _n = 1 THEN {own} END").alias("_polarity"),
+        F.array_size("_tokens").alias("_n"),
+        F.expr(f"filter({_SCORED[edges]}, token -> {hit})").alias("_hits"),
+        F.expr(f"CAST({polarity} AS STRING)").alias("_polarity"),
+    )
+    difference = f"2L * array_size(filter(_hits, token -> {up})) - array_size(_hits)"
+    return hits.select(
+        *keys, "_n", F.expr(f"coalesce({difference}, 0L)").alias("score"), "_polarity"
     )
 
 
@@ -185,8 +187,13 @@ def _constants(words: Sequence[str]) -> str:
     )
 
 
-def _score_by_join(counted: DataFrame, lookup: Lookup, keys: list[str]) -> DataFrame:
-    words = counted.select(*keys, "_n", F.explode_outer("_scored").alias("word"))
+def _score_by_join(cut: DataFrame, lookup: Lookup, keys: list[str], edges: str) -> DataFrame:
+    """The same by a join of single tokens with the lexicon."""
+    words = cut.select(
+        *keys,
+        F.array_size("_tokens").alias("_n"),
+        F.explode_outer(F.expr(_SCORED[edges])).alias("word"),
+    )
     if lookup.strategy == "broadcast":
         found = words.join(F.broadcast(lookup.table), "word", "left")
     else:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
+# Scans of more splits than this are never spread: 8 GiB at the default split size.
+SPREAD_SPLITS = 64
+
 # Ways a hot key is split when neither side can be broadcast.
 SALTS = 32
 
@@ -56,11 +59,12 @@ def salted_join(
 def spread(scan: DataFrame) -> DataFrame:
     """Use all cores when a scan has fewer splits than half of them.
 
-    A table of one small file gives one split, and with it one busy core. Tables
-    with enough splits are returned as they are, without a shuffle. Apply it to a
-    pruned scan, before any expensive expression.
+    A table of one small file gives few splits, and with them few busy cores. Larger
+    tables are returned as they are, without a shuffle. Apply it to a pruned scan,
+    before any expensive expression.
     """
-    slots = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.isStreaming or scan.rdd.getNumPartitions() * 2 > slots:
+    if scan.isStreaming:
         return scan
-    return scan.repartition(slots)
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    splits = scan.rdd.getNumPartitions()
+    return scan if splits > SPREAD_SPLITS or splits * 2 > slots else scan.repartition(slots)

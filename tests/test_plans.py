@@ -26,7 +26,7 @@ def test_row_plan_shuffles_labels_only(lexicon, documents):
 
 def test_row_plan_scores_a_post_once(lexicon, documents):
     plan = plan_of(label_posts(documents, lexicon, key="doc_id"))
-    assert plan.count("aggregate(") == 1
+    assert plan.count("array_remove(") == 1 and plan.count("filter(_tokens") == 1
     assert len(re.findall(r"split\(text", plan)) == 1
 
 
@@ -76,12 +76,14 @@ def test_measure(spark):
     assert not fits_broadcast(Size(0, sizing.BROADCAST_BYTES + 1))
 
 
-def test_spread_only_when_cores_would_idle(spark, documents, tmp_path):
+def test_spread_only_when_cores_would_idle(spark, documents, tmp_path, monkeypatch):
     few = documents.select("doc_id")
     assert "RoundRobinPartitioning(4)" in plan_of(spread(few))
     spark.range(0, 1000, 1, 8).write.parquet(str(tmp_path / "many"))
     many = spark.read.parquet(str(tmp_path / "many"))
     assert "RoundRobin" not in plan_of(spread(many))
+    monkeypatch.setattr(sizing, "SPREAD_SPLITS", 0)
+    assert "RoundRobin" not in plan_of(spread(few))
     stream = spark.readStream.schema("id bigint").parquet(str(tmp_path / "many"))
     assert spread(stream) is stream
 

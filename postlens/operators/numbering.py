@@ -13,7 +13,9 @@ from ..workspace import new_folder
 _ROW_BITS = 33
 
 
-def number_lines(lines: DataFrame, order_by: str | Sequence[str]) -> DataFrame:
+def number_lines(
+    lines: DataFrame, order_by: str | Sequence[str], ranges: int | None = None
+) -> DataFrame:
     """Add `line_no` (from 1, in the order of `order_by`) and `line_count`.
 
     `order_by` must be unique as a whole, or lines with equal keys swap places.
@@ -21,13 +23,14 @@ def number_lines(lines: DataFrame, order_by: str | Sequence[str]) -> DataFrame:
     The lines are sorted into ranges and written to the shared folder with their
     place in the range. Only then are the ranges counted, so that both passes see
     the same ranges, also after the loss of an executor. What is summed up and
-    broadcast is one row per range, at most `spark.sql.shuffle.partitions`.
+    broadcast is one row per range: `ranges`, or else at most
+    `spark.sql.shuffle.partitions`.
     """
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
     spark = lines.sparkSession
     folder = new_folder(spark, "numbered")
     (
-        lines.repartitionByRange(*keys)
+        lines.repartitionByRange(*([] if ranges is None else [ranges]), *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_place", F.monotonically_increasing_id())
         .write.parquet(folder)

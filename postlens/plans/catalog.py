@@ -51,6 +51,7 @@ from ..sources import (
     read_tokens,
     rule_ids,
     rules_table,
+    sample_file,
     store_rules,
     union_posts,
     word_polarity,
@@ -320,12 +321,12 @@ def ruled_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_infer_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _table(
-        spark, sf_dir, "events", "event_id", F.col("ts").cast("string"), "user_id", "event_type", "value", "props"
-    )
+    time = F.col("ts").cast("string")
+    others = ("event_id", "user_id", "event_type", "value", "props")
+    events = _table(spark, sf_dir, "events", time, *others)
     path = new_folder(spark, "events")
     events.write.json(path)
-    return read_lines(spark, path, infer_schema(spark, f"{path}/part-00000*"))
+    return read_lines(spark, path, infer_schema(spark, sample_file(spark, path)))
 
 
 def _stream_line() -> Column:

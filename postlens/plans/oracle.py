@@ -46,7 +46,15 @@ _DOCUMENT_LINES = """lines AS (
     FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents))"""
 
 
-def _labels(source: str, keys: str, text: str, split: str, edges: str, parse: str = _KEYED, ctes: str = "") -> str:
+def _labels(
+    source: str,
+    keys: str,
+    text: str,
+    split: str,
+    edges: str,
+    parse: str = _KEYED,
+    ctes: str = "",
+) -> str:
     """Common table expressions that end in `labels(keys, score, label)`."""
     tokens = split.format(text)
     if edges == "clean":

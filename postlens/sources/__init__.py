@@ -9,7 +9,7 @@ from .lexicon import (
     read_positional_fields,
     word_polarity,
 )
-from .lines import infer_schema, read_lines, stream_lines, token_rows
+from .lines import infer_schema, read_lines, sample_file, stream_lines, token_rows
 from .pages import has_next, page_posts, parse_pages, read_pages, union_posts
 from .rules import parse_rule_responses, read_rules, rule_ids, rules_table, store_rules
 from .tables import read_tokens
@@ -32,6 +32,7 @@ __all__ = [
     "read_tokens",
     "rule_ids",
     "rules_table",
+    "sample_file",
     "store_rules",
     "stream_lines",
     "token_rows",

@@ -10,8 +10,13 @@ from ..functions import tokens_nw
 from ..schemas import STREAM_LINE
 
 
+def sample_file(spark: SparkSession, path: str) -> str:
+    """One landed file with at least one line. Reading stops at the first line."""
+    return spark.read.text(path).select("_metadata.file_path").first().file_path
+
+
 def infer_schema(spark: SparkSession, sample_path: str) -> StructType:
-    """The schema of a sample (one landed file, or a glob for one), to be reused for the rest."""
+    """The schema of a sample (one landed file), to be reused for the rest."""
     return spark.read.json(sample_path).schema
 
 

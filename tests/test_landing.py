@@ -34,9 +34,10 @@ def test_numbers_follow_the_order_and_have_no_gaps(spark):
     rows = spark.range(5_000).select(
         ((F.col("id") * 7919) % 5_000).alias("key"), F.hash("id").alias("payload")
     )
-    numbered = number_lines(rows.repartition(9), "key").collect()
-    assert len(numbered) == 5_000
-    assert all(r.line_no == r.key + 1 and r.line_count == 5_000 for r in numbered)
+    for ranges in (None, 13):
+        numbered = number_lines(rows.repartition(9), "key", ranges).collect()
+        assert len(numbered) == 5_000
+        assert all(r.line_no == r.key + 1 and r.line_count == 5_000 for r in numbered)
 
 
 def test_numbers_by_two_keys_when_one_value_dominates(spark):
@@ -97,7 +98,8 @@ def test_live_landing_feeds_the_tokenizer_once(spark, tmp_path):
             lines.append(json.dumps({"data": {"id": str(number), "text": f"post {number}"}}))
             number += 1
         (source / f"{batch}.json").write_text("\n".join(lines) + "\n")
-        for start, path, out in ((land_live, source, "landed"), (tokenize_lake, tmp_path / "landed", "tokens")):
+        jobs = ((land_live, source, "landed"), (tokenize_lake, tmp_path / "landed", "tokens"))
+        for start, path, out in jobs:
             stream = start(
                 spark, str(path), str(tmp_path / out), str(tmp_path / f"{out}-ck"), available_now=True
             )

@@ -90,7 +90,8 @@ def test_spread_only_when_cores_would_idle(spark, documents, tmp_path, monkeypat
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
 def test_salted_join_equals_a_plain_join(spark, how):
-    facts = spark.range(2_000).select("id", F.when(F.col("id") < 900, 7).otherwise(F.col("id") % 40).alias("k"))
+    hot = F.when(F.col("id") < 900, 7).otherwise(F.col("id") % 40)
+    facts = spark.range(2_000).select("id", hot.alias("k"))
     dim = spark.range(30).select(F.col("id").alias("k"), F.col("id").alias("v"))
     salted = sizing.salted_join(facts, dim, "k", how, [F.col("id")]).select(
         *facts.join(dim, "k", how).columns

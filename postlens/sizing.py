@@ -14,6 +14,9 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 # Scans of more splits than this are never spread: 8 GiB at the default split size.
 SPREAD_SPLITS = 64
 
+# Parts made of one split when it is spread, 4 MiB each at the default split size.
+PARTS_PER_SPLIT = 32
+
 # Ways a hot key is split when neither side can be broadcast.
 SALTS = 32
 
@@ -57,7 +60,7 @@ def salted_join(
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores when a scan has fewer splits than half of them.
+    """Use more cores when a scan has fewer splits than half of them.
 
     A table of one small file gives few splits, and with them few busy cores. Larger
     tables are returned as they are, without a shuffle. Apply it to a pruned scan,
@@ -67,4 +70,6 @@ def spread(scan: DataFrame) -> DataFrame:
         return scan
     slots = scan.sparkSession.sparkContext.defaultParallelism
     splits = scan.rdd.getNumPartitions()
-    return scan if splits > SPREAD_SPLITS or splits * 2 > slots else scan.repartition(slots)
+    if splits > SPREAD_SPLITS or splits * 2 > slots:
+        return scan
+    return scan.repartition(min(slots, max(splits, 1) * PARTS_PER_SPLIT))

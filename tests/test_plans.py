@@ -82,6 +82,8 @@ def test_spread_only_when_cores_would_idle(spark, documents, tmp_path, monkeypat
     spark.range(0, 1000, 1, 8).write.parquet(str(tmp_path / "many"))
     many = spark.read.parquet(str(tmp_path / "many"))
     assert "RoundRobin" not in plan_of(spread(many))
+    monkeypatch.setattr(sizing, "PARTS_PER_SPLIT", 3)
+    assert "RoundRobinPartitioning(3)" in plan_of(spread(few))
     monkeypatch.setattr(sizing, "SPREAD_SPLITS", 0)
     assert "RoundRobin" not in plan_of(spread(few))
     stream = spark.readStream.schema("id bigint").parquet(str(tmp_path / "many"))

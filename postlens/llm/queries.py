@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import mixing, quality, sharding, url_filters
+from postlens.llm import bpe, jaccard, mixing, quality, sharding, suffix_dedup, unigram, url_filters
 from postlens.llm.common import document_rows
 from postlens.workspace import new_folder
 
@@ -21,6 +22,10 @@ URL_RULES = [
 ]
 SHARDS = 24
 
+# Vocabularies of the public tokenizers.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
+
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = document_rows(spark, sf_dir, "pages").select("page_id", "url")
@@ -34,10 +39,36 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(docs, quality.fit_ratios(docs, trusted)).drop("text")
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path(RANKS)
+    docs = document_rows(spark, sf_dir).select("doc_id", "text")
+    tokens = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    return bpe.decode(tokens, ranks).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        bpe.ids_sha256(F.col("ids")).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(document_rows(spark, sf_dir)).drop("copies")
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(document_rows(spark, sf_dir))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = unigram.zipf_scores(unigram.read_pieces(public_tokenizers.path(PIECES)))
+    return unigram.count_tokens(document_rows(spark, sf_dir), scores, keep=["doc_id"])
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(document_rows(spark, sf_dir))
+    return kept.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = document_rows(spark, sf_dir).select(
@@ -55,7 +86,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_quality_rules": op2_quality_rules,
+    "op5_byte_bpe": op5_byte_bpe,
     "op6_mix_sources": op6_mix_sources,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_token_counts": op8_token_counts,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sharding": op10_sharding,
 }
 

@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import bpe, jaccard, mixing, quality, sharding, suffix_dedup, unigram, url_filters
+from postlens.llm import (
+    bpe,
+    jaccard,
+    mixing,
+    order_minhash,
+    quality,
+    sharding,
+    suffix_dedup,
+    unigram,
+    url_filters,
+)
 from postlens.llm.common import document_rows
 from postlens.workspace import new_folder
 
@@ -39,6 +49,19 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(docs, quality.fit_ratios(docs, trusted)).drop("text")
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = order_minhash.compare_edited(document_rows(spark, sf_dir).select("doc_id", "text"))
+    return compared.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        order_minhash.printed(F.col("fingerprint")).alias("fingerprint"),
+        order_minhash.printed(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path(RANKS)
     docs = document_rows(spark, sf_dir).select("doc_id", "text")
@@ -86,6 +109,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_quality_rules": op2_quality_rules,
+    "op4_order_minhash": op4_order_minhash,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_mix_sources": op6_mix_sources,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,

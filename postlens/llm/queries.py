@@ -18,6 +18,7 @@ from postlens.llm import (
     suffix_dedup,
     unigram,
     url_filters,
+    warc,
 )
 from postlens.llm.common import document_rows
 from postlens.workspace import new_folder
@@ -49,6 +50,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(docs, quality.fit_ratios(docs, trusted)).drop("text")
 
 
+def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(document_rows(spark, sf_dir, "pages"), new_folder(spark, "warc"))
+    return warc.payloads(warc.read_chunks(archives)).withColumnRenamed("key", "page_id")
+
+
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     compared = order_minhash.compare_edited(document_rows(spark, sf_dir).select("doc_id", "text"))
     return compared.select(
@@ -109,6 +115,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_quality_rules": op2_quality_rules,
+    "op3_warc_chunks": op3_warc_chunks,
     "op4_order_minhash": op4_order_minhash,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_mix_sources": op6_mix_sources,

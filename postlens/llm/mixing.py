@@ -70,7 +70,7 @@ def source_targets(
     return ranked.withColumn("target", target).select("source", "source_size", "target")
 
 
-def mix(
+def plan_mix(
     docs: DataFrame,
     weights: Sequence[float] = (5.0, 2.0, 1.0),
     share: float = 1.5,
@@ -78,19 +78,15 @@ def mix(
     key: str = "doc_id",
     text: str = "text",
     source: str = "source",
-) -> DataFrame:
-    """One row per document: `key`, `source`, `size`, `source_size`, `target`, `copies`, `taken`.
+) -> tuple[DataFrame, DataFrame]:
+    """Sizes of the documents, and for each source its target, whole copies and threshold.
 
-    `taken` is `copies * size`. A document is taken `floor(target / source_size)` times,
-    and once more while the running size of its source, in hash order, stays within the
-    rest of the target. The hash depends on the key alone, so reruns agree and a smaller
-    target takes a subset. Documents with equal keys share a hash and are taken alike. NULL
-    sources form one source; NULL and empty texts have size 0 and take no budget. Sources
-    of total size 0 have target 0 and no copies. An empty table gives an empty table.
+    Sizes are counted once and written to the shared folder, without texts; all histograms
+    read them from there.
     """
     spark = docs.sparkSession
     narrow = docs.select(
-        F.col(key).alias("_key"),
+        F.col(key).alias("key"),
         F.col(source).alias("source"),
         word_count(F.col(text)).alias("size"),
         key_hash(F.col(key)).alias("_hash"),
@@ -103,21 +99,55 @@ def mix(
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
     targets = targets.withColumn("_full", F.coalesce(full, F.lit(0)).cast("bigint"))
     budget = F.floor(F.col("target") - F.col("_full") * F.col("source_size")).cast("bigint")
-    plan = _thresholds(narrow, targets.withColumn("_budget", budget))
-    joined = narrow.join(_small(plan), narrow["source"].eqNullSafe(plan["source"])).drop(plan["source"])
-    extra = F.when(F.col("_hash") < F.col("_threshold"), F.lit(1)).otherwise(F.lit(0))
-    copies = (F.col("_full") + extra).cast("bigint")
-    return joined.select(
-        F.col("_key").alias(key),
+    return narrow, _thresholds(narrow, targets.withColumn("_budget", budget))
+
+
+def with_copies(rows: DataFrame, plan: DataFrame, source: str, hashed: Column) -> DataFrame:
+    """`rows` with the columns of `plan` and `copies`, how often the mix takes the row."""
+    plan = plan.withColumnRenamed("source", "_source")
+    extra = F.when(hashed < F.col("_threshold"), F.lit(1)).otherwise(F.lit(0))
+    return (
+        rows.join(_small(plan), rows[source].eqNullSafe(F.col("_source")))
+        .withColumn("copies", (F.col("_full") + extra).cast("bigint"))
+        .drop("_source", "_full", "_budget", "_threshold")
+    )
+
+
+def mix(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
+    """One row per document: `key`, `source`, `size`, `source_size`, `target`, `copies`, `taken`.
+
+    `taken` is `copies * size`. A document is taken `floor(target / source_size)` times,
+    and once more while the running size of its source, in hash order, stays within the
+    rest of the target. The hash depends on the key alone, so reruns agree and a smaller
+    target takes a subset. Documents of a source with equal keys share a hash and are taken
+    alike. NULL sources form one source; NULL and empty texts have size 0 and take no
+    budget. Sources of total size 0 have target 0 and no copies. An empty table gives an
+    empty table. `how`: see `plan_mix`.
+    """
+    narrow, plan = plan_mix(docs, key=key, **how)
+    return with_copies(narrow, plan, "source", F.col("_hash")).select(
+        F.col("key").alias(key),
         "source",
         "size",
         "source_size",
         "target",
-        copies.alias("copies"),
-        (copies * F.col("size")).alias("taken"),
+        "copies",
+        (F.col("copies") * F.col("size")).alias("taken"),
     )
 
 
+def mixed_rows(docs: DataFrame, key: str = "doc_id", source: str = "source", **how) -> DataFrame:
+    """The rows of `docs` as often as the mix takes them. Texts are not shuffled.
+
+    Texts of size 0 come as often as their hash says, like any other.
+    """
+    _, plan = plan_mix(docs, key=key, source=source, **how)
+    taken = with_copies(docs.select(F.struct("*").alias("_row"), F.col(source).alias("_in")), plan, "_in",
+                        key_hash(F.col(f"_row.{key}")))
+    times = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
+    return taken.where("copies > 0").withColumn("_time", times).select("_row.*")
+
+
 def _small(table: DataFrame) -> DataFrame:
     """Broadcast one row per source if they measure up to the limit; else left to the planner."""
     return F.broadcast(table) if fits_broadcast(measure(table)) else table

@@ -151,10 +151,14 @@ def judge_quality(
     n, repeats = F.col(names["n_words"]), F.col(names["n_repeat_words"])
     failed = (n < MIN_WORDS) | (100 * repeats > REPEAT_PERCENT * n)
     new = [*names, "base_failed", "score", "kept"]
+    # A filter on the results must not be pushed below the steps, where every use of a step
+    # would repeat its expression; it stops at a number that differs from row to row.
+    row = free_name(docs, "q_row")
+    step = step.withColumn(row, F.monotonically_increasing_id())
     return step.select(
         *(c for c in docs.columns if c not in new),
         *(F.col(hidden).alias(name) for name, hidden in names.items()),
         failed.alias("base_failed"),
         F.col(score).alias("score"),
-        (~failed & (F.col(score) >= threshold)).alias("kept"),
+        ((F.col(row) >= 0) & ~failed & (F.col(score) >= threshold)).alias("kept"),
     )

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postlens.llm.common import importable
 from postlens.llm.jaccard import text_key
@@ -23,10 +24,16 @@ RUN_BYTES = 8 << 20
 
 
 def remove_repeats(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", run_bytes: int = RUN_BYTES
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    keep: list[str] | None = None,
+    run_bytes: int = RUN_BYTES,
 ) -> DataFrame:
     """One row per row of `docs`: `key`, `n_bytes`, `n_removed`, `n_spans`, `kept`.
 
+    The columns `keep` of `docs` follow, if they are named.
+
     Texts are UTF-8 bytes; NULL is empty. A byte is removed if a 50-byte string that covers
     it also starts in a row of smaller key, as the input has them. `n_spans` counts maximal
     removed runs and `kept` holds the other bytes in order, which may cut characters. Rows
@@ -49,9 +56,12 @@ def remove_repeats(
     runs = max(1, -(-total // run_bytes))
     run = run_of(F.col("id"), runs)
     texts = docs.select(
-        F.col(key).cast("bigint").alias("id"), text_key(F.col(text)).alias("key"), F.col(text).alias("text")
+        F.col(key).cast("bigint").alias("id"),
+        text_key(F.col(text)).alias("key"),
+        F.col(text).alias("text"),
+        F.struct(F.lit(0).alias("_"), *(F.col(c) for c in keep or ())).alias("rest"),
     ).withColumn("run", run)
-    texts = texts.select("run", "id", "key", "text")
+    texts = texts.select("run", "id", "key", "text", "rest")
     copies = _copies(narrow, run)
     by_run = texts.groupBy("run")
 
@@ -67,9 +77,32 @@ def remove_repeats(
     blocks = by_run.cogroup(copies.union(shared).groupBy("run")).applyInArrow(sort, aside)
     spans = blocks.groupBy("part").applyInArrow(_merged, aside)
     done = by_run.cogroup(copies.union(spans).groupBy("run")).applyInArrow(
-        _cut, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
+        _cut, T.StructType([*T.StructType.fromDDL(CUT).fields, texts.schema["rest"]])
     )
-    return done.withColumnRenamed("id", key)
+    counts = [F.col("id").alias(key), "n_bytes", "n_removed", "n_spans", "kept"]
+    return done.select(*counts, *(F.col("rest")[c].alias(c) for c in keep or ()))
+
+
+CUT = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with covered bytes removed from `text`; a column `n_chars` is set anew.
+
+    A character of which a part was removed goes as a whole. Texts of which nothing is left
+    are empty; no row is dropped.
+    """
+    others = [c for c in docs.columns if c not in (key, text)]
+    done = remove_repeats(docs, key, text, others)
+    # Fragments of characters become one mark each, which no text had at that place.
+    left = F.make_valid_utf8(F.col("kept").cast("string"))
+    whole = F.when(F.is_valid_utf8(F.col("kept").cast("string")), left).otherwise(
+        F.replace(left, F.lit("\ufffd"), F.lit(""))
+    )
+    done = done.withColumn(text, whole)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return done.select(*docs.columns)
 
 
 def run_of(key: Column, runs: int) -> Column:
@@ -104,6 +137,7 @@ class Run:
         self.number = left.column("run")[0].as_py() if left.num_rows else None
         self.ids = np.asarray(left.column("id").to_numpy())
         self.keys = left.column("key").to_pylist()
+        self.rest = left.column("rest")
         column = pc.fill_null(left.column("text").cast(pa.large_binary()), b"")
         self.texts = column.to_pylist()
         self.beside: dict[int, list] = {}
@@ -263,5 +297,6 @@ def _cut(left, right):
         for column, value in zip(columns, row, strict=True):
             column.append(value)
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    names = ["id", "n_bytes", "n_removed", "n_spans", "kept"]
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+    names = ["id", "n_bytes", "n_removed", "n_spans", "kept", "rest"]
+    counts = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+    return pa.table([*counts, run.rest], names)

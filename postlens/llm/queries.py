@@ -125,4 +125,94 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLE: dict[str, str] = {}
+_PARSED = """
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages"""
+
+# SQL for those queries that SQL can express. Hashed n-grams, fingerprints, merges of bytes
+# and slot maps are compared with brute force in the tests instead.
+ORACLE: dict[str, str] = {
+    "op1_url_filters": f"""
+WITH parsed AS ({_PARSED}),
+rules(rule_host, rule_path, v) AS (VALUES {", ".join(map(str, URL_RULES))}),
+best AS (
+  SELECT page_id,
+    arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+    arg_max(v, length(rule_host || rule_path)) AS v
+  FROM parsed JOIN rules
+    ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id
+)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict
+FROM parsed LEFT JOIN best USING (page_id)""",
+    "op3_warc_chunks": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages
+), r AS (SELECT h, max(page_id) AS top FROM p GROUP BY h)
+SELECT page_id, strlen(t) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (1 + ((('0x' || substr(h, (1 + 10 * (i // 8))::INT, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31))::INT,
+    1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to
+FROM p JOIN r USING (h)""",
+    "op6_mix_sources": r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    [5.0::DOUBLE, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w
+  FROM sized GROUP BY source
+), filled AS (
+  SELECT *, 2.0::DOUBLE * source_size AS cap,
+    (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE
+      - coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY 2.0::DOUBLE * source_size / w, source
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(w) OVER (ORDER BY 2.0::DOUBLE * source_size / w, source
+      ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
+  FROM sources
+), levelled AS (
+  SELECT *, (SELECT arg_min(rest / weights, cap / w) FROM filled
+    WHERE rest / weights * w <= cap) AS level FROM filled
+), targets AS (SELECT source, source_size, least(coalesce(level * w, cap), cap) AS target FROM levelled),
+budgets AS (
+  SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS whole FROM targets
+)
+SELECT doc_id, s.source, size, source_size, target,
+  size * (whole + CASE WHEN sum(size) OVER (PARTITION BY s.source ORDER BY h)
+    <= floor(target - whole * source_size) THEN 1 ELSE 0 END)::BIGINT AS taken
+FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source""",
+    "op9_suffix_dedup": """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents
+), blocks AS (
+  SELECT doc_id, o, n, substr(x, 2 * o + 1, 1122) AS y
+  FROM (SELECT doc_id, n, x, unnest(range(0, n, 512)) AS o FROM d)
+), grams AS (
+  SELECT doc_id, o + q AS p, substr(y, 2 * q + 1, 100) AS s
+  FROM (SELECT doc_id, o, y, unnest(range(0, least(512, n - 49 - o))) AS q FROM blocks)
+), least_ids AS (SELECT s, min(doc_id) AS lo FROM grams GROUP BY s),
+hits AS (SELECT g.doc_id, p FROM grams g JOIN least_ids USING (s) WHERE lo < g.doc_id),
+marked AS (
+  SELECT doc_id, p,
+    CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS new
+  FROM hits
+), numbered AS (
+  SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM marked
+), spans AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY doc_id, k),
+cuts AS (
+  SELECT doc_id, k, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY k), 0) AS before FROM spans
+), pieces AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS removed, count(*) AS spans, max(b) AS done,
+    string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY k) AS kept
+  FROM cuts JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(done, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN pieces USING (doc_id)""",
+}

@@ -1,0 +1,47 @@
+import duckdb
+import pytest
+
+TABLES = ("documents", "labels", "pages")
+
+
+@pytest.fixture(scope="session")
+def duck(sf_dir):
+    connection = duckdb.connect()
+    for table in TABLES:
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    yield connection
+    connection.close()
+
+
+@pytest.fixture(scope="session")
+def texts(duck):
+    """`doc_id, text` of the small table."""
+    return duck.execute("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall()
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    """Nulls, empty and long texts, ties, repeated rows, and columns with clashing names."""
+    long = " ".join(f"w{i % 977}x{i % 31}" for i in range(20_000))
+    passage = "the quick brown fox jumps over the lazy dog while seven wizards brew potions today"
+    rows = [
+        (1, passage + " one", "b", "kept"),
+        (2, passage + " one", "b", "kept"),
+        (2, passage + " one", "b", "kept"),
+        (3, "Ä" + passage + " two ☃", "a", None),
+        (4, long, None, "x"),
+        (5, long + " end", None, "x"),
+        (6, None, "a", "x"),
+        (7, "", "a", "x"),
+        (None, passage, "c", "x"),
+        (8, " \n\t ", "a", "x"),
+        (9, "a" * 300, "\U00010000", "x"),
+        (10, "a" * 200, "\uffff", "x"),
+        (11, "one two", "a", "x"),
+    ]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, source string, score string")
+
+
+@pytest.fixture(scope="session")
+def nothing(odd):
+    return odd.where("false")

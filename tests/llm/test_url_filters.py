@@ -1,0 +1,70 @@
+import pytest
+
+from postlens.llm import url_filters
+from postlens.llm.queries import ORACLE, QUERIES, URL_RULES
+
+RULES = "host string, path string, verdict string"
+URLS = [
+    "http://example.org/es/1",
+    "https://WWW.Example.ORG/es",
+    "https://www.example.org/en/123?x=/es/",
+    "ftp://a.b.com/fr/",
+    "http://com/de/#x",
+    "http://notexample.org/es/",
+    "http://example.org",
+    "http://example.org?/es/",
+    "no scheme/es/",
+    "",
+    None,
+    "http:///es/",
+    "http://É.org/",
+    "x://y://example.org/es/",
+    "http://" + "a." * 200 + "org/" + "p" * 3000,
+]
+
+
+def brute(url, rules=URL_RULES, default="allow"):
+    if url is None or "://" not in url:
+        host = path = ""
+    else:
+        rest = url.split("://", 1)[1]
+        cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut])
+        path = rest[cut:]
+        path = path[: min([path.find(c) for c in "?#" if c in path], default=len(path))]
+    fits = [
+        (len(h + p), len(h), v == "block", h + p, v)
+        for h, p, v in rules
+        if (host == h or host.endswith("." + h)) and path.startswith(p)
+    ]
+    rule, verdict = max(fits)[3:] if fits else (None, default)
+    return host, path, rule, verdict
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_verdicts(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(url_filters, "fits_broadcast", lambda size: broadcast)
+    pages = spark.createDataFrame([(i % 4, u) for i, u in enumerate(URLS * 2)], "page_id int, url string")
+    rules = spark.createDataFrame(URL_RULES, RULES)
+    found = url_filters.judge_urls(pages, rules).collect()
+    assert sorted(map(repr, found)) == sorted(
+        repr(type(found[0])(page_id=i % 4, url=u, host=h, path=p, rule=r, verdict=v))
+        for i, u in enumerate(URLS * 2)
+        for h, p, r, v in [brute(u)]
+    )
+
+
+def test_clashing_names_no_rules_and_no_pages(spark):
+    pages = spark.createDataFrame([("http://a.org/", "old", 1)], "url string, host string, verdict int")
+    none = spark.createDataFrame([], RULES)
+    assert url_filters.judge_urls(pages, none).collect() == [("http://a.org/", "a.org", "/", None, "allow")]
+    rules = spark.createDataFrame([("org", None, "block"), (None, "/", "block"), ("ORG", "", "allow")], RULES)
+    assert url_filters.judge_urls(pages, rules).first()["verdict"] == "block"
+    assert url_filters.judge_urls(pages.where("false"), rules).count() == 0
+
+
+def test_query_is_sql(spark, duck, sf_dir):
+    found = QUERIES["op1_url_filters"](spark, sf_dir)
+    expected = duck.execute(ORACLE["op1_url_filters"])
+    names = [c[0] for c in expected.description]
+    assert sorted(map(repr, map(tuple, found.select(*names).collect()))) == sorted(map(repr, expected.fetchall()))

@@ -1,0 +1,94 @@
+import base64
+import gzip
+import hashlib
+import io
+from pathlib import Path
+
+import pytest
+
+from postlens.llm import warc
+from postlens.llm.queries import ORACLE, QUERIES
+from postlens.workspace import new_folder
+
+
+def sha(data):
+    return base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+PAGES = [
+    (1, "http://a/", "same ☃ payload"),
+    (2, "http://b/", "same ☃ payload"),
+    (2, "http://b/", "same ☃ payload"),
+    (3, None, "WARC/1.1\r\n\r\nWARC-Type: response\r\n\r\n"),
+    (4, "http://c/\r\nX: y", "long" * 10_000),
+    (5, "http://d/", None),
+    (6, "http://e/", ""),
+    (None, "http://f/", "same ☃ payload"),
+    (None, "http://g/", "alone"),
+]
+
+
+@pytest.fixture
+def pages(spark):
+    return spark.createDataFrame(PAGES, "page_id bigint, url string, html string").selectExpr("*", "1 AS row", "'x' AS data")
+
+
+@pytest.mark.parametrize("least", [0, 1, 1000])
+def test_round_trip(spark, pages, least):
+    archives = warc.write_archives(pages, new_folder(spark, "w"), least=least, chunk=1000)
+    chunks = warc.read_chunks(archives, chunk=700)
+    rows = warc.payloads(chunks).collect()
+    greatest = {}
+    for i, _, html in PAGES:
+        data = (html or "").encode()
+        greatest[data] = max(greatest.get(data, -1), -1 if i is None else i)
+    expected = []
+    for i, _, html in PAGES:
+        data = (html or "").encode()
+        top = greatest[data]
+        revisit = len(data) >= least and top != -1 and i != top
+        expected.append((i, len(data), sha(data), "revisit" if revisit else "response", top if revisit else None))
+    assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, expected))
+    text = {}
+    digests = {}
+    for r in chunks.where("key = 4").orderBy("chunk").collect():
+        text[r["chunk"]], digests[r["chunk"]] = bytes(r["data"]), r["digest_so_far"]
+    assert len(text) == 58 and all(len(text[k]) <= 700 for k in text)
+    assert b"".join(text[k] for k in sorted(text)) == b"long" * 10_000
+    assert digests[3] == sha((b"long" * 10_000)[:2800])
+
+
+def test_archives_are_members_of_whole_records(spark, pages):
+    archives = warc.write_archives(pages, new_folder(spark, "w"))
+    total = 0
+    for row in archives.collect():
+        data = Path(row["path"].removeprefix("file:")).read_bytes()
+        plain = gzip.decompress(data)
+        assert plain.startswith(b"WARC/1.1\r\n") and plain.endswith(b"\r\n\r\n")
+        assert len(list(warc.records(io.BytesIO(data)))) == row["records"]
+        total += row["records"]
+    assert total == len(PAGES)
+
+
+def test_damage_is_noticed(spark, pages):
+    archives = warc.write_archives(pages.where("page_id = 4"), new_folder(spark, "w"))
+    data = Path(archives.first()["path"].removeprefix("file:")).read_bytes()
+    plain = gzip.decompress(data)
+    with pytest.raises(ValueError, match="digest"):
+        list(warc.records(io.BytesIO(gzip.compress(plain.replace(b"longlong", b"lungling", 1)))))
+    with pytest.raises(EOFError):
+        list(warc.records(io.BytesIO(gzip.compress(plain[:-100]))))
+
+
+def test_no_pages(spark, pages):
+    archives = warc.write_archives(pages.where("false"), new_folder(spark, "w"))
+    assert archives.count() == 0
+    assert warc.read_chunks(archives).count() == 0
+
+
+def test_query_is_sql(spark, duck, sf_dir):
+    found = QUERIES["op3_warc_chunks"](spark, sf_dir)
+    expected = duck.execute(ORACLE["op3_warc_chunks"])
+    names = [c[0] for c in expected.description]
+    assert sorted(found.columns) == sorted(names)
+    assert sorted(map(repr, map(tuple, found.select(*names).collect()))) == sorted(map(repr, expected.fetchall()))

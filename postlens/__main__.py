@@ -19,6 +19,7 @@ from postlens.plans import (
     score_lake,
     tokenize_lake,
 )
+from postlens.plans.jobs import MAX_FILES
 
 REPORTS = {
     "account-report": account_report,
@@ -37,6 +38,7 @@ def arguments() -> argparse.Namespace:
     report.add_argument("lexicon")
     report.add_argument("--edges", default="clean", choices=("clean", "as_reference"))
     report.add_argument("--multi-line", action="store_true", help="one page per file")
+    report.add_argument("--rules", help="count only posts of accounts that stored rules name")
 
     land = jobs.add_parser("land", help="text lines to landing files")
     land.add_argument("lines")
@@ -49,13 +51,14 @@ def arguments() -> argparse.Namespace:
     live.add_argument("checkpoint")
     live.add_argument("--per-file", type=int, default=10)
     live.add_argument("--available-now", action="store_true", help="stop at the end of the input")
+    live.add_argument("--max-files", type=int, default=MAX_FILES)
 
     tokenize = jobs.add_parser("tokenize", help="landed JSON lines to a token table, as a stream")
     tokenize.add_argument("lines")
     tokenize.add_argument("path")
     tokenize.add_argument("checkpoint")
     tokenize.add_argument("--available-now", action="store_true", help="stop at the end of the input")
-    tokenize.add_argument("--max-files", type=int)
+    tokenize.add_argument("--max-files", type=int, default=MAX_FILES)
     tokenize.add_argument("--row-group-bytes", type=int)
     tokenize.add_argument("--keep-corrupt", action="store_true")
 
@@ -74,7 +77,7 @@ def arguments() -> argparse.Namespace:
     score.add_argument("checkpoint")
     score.add_argument("--edges", default="clean", choices=("clean", "as_reference"))
     score.add_argument("--available-now", action="store_true")
-    score.add_argument("--max-files", type=int)
+    score.add_argument("--max-files", type=int, default=MAX_FILES)
     return parser.parse_args()
 
 

@@ -32,4 +32,5 @@ def label_report(labels: DataFrame, order: str = "label", label: str = "label")
 
 def console_form(report: DataFrame) -> DataFrame:
     """The report under its printed headings, for ``show(truncate=False)``."""
+    # The printed headings.
     return report.select("label", "n", "pct").toDF("Sentiment-Analysis", "Sum", "Percentage(%)")

@@ -15,10 +15,10 @@ Two edge modes:
 Three plans give the same labels; `prepare_lexicon` picks by measured size:
 
 ``row``
-    The words become constant sets in the expression. No shuffle, no post key.
+    The words become constant sets in the expression. No shuffle.
 ``broadcast``
-    Tokens are exploded and joined with a broadcast lexicon; one shuffle on the
-    key, after the tokens of a post were added up where they were read.
+    Tokens are exploded and joined with a broadcast lexicon; one shuffle on a
+    number given to each row, after its tokens were added up where they were read.
 ``salted``
     As before with a shuffle join in which every word is split into parts, so
     that the most frequent words do not end in one task each.
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokenize, without_empty
 from ..sizing import fits_broadcast, measure, salted_join
+from ..workspace import new_folder
 
 # Up to here the lexicon travels inside the plan; published lexicons have 5,000 to 15,000 words.
 ROW_WORDS = 20_000
@@ -61,7 +62,9 @@ def prepare_lexicon(
     `lexicon` has one row per word, as `first_polarity` gives it.
 
     The words reach the driver only once they are known to be few. A named strategy
-    is taken only where the lexicon fits it.
+    is taken only where the lexicon fits it. Whatever the plan, the lexicon is read once,
+    here: a larger one is written to the shared folder, and that table is measured and
+    joined, so later changes of its files do not reach a prepared lexicon.
     """
     if isinstance(lexicon, Lookup):
         return lexicon
@@ -74,6 +77,9 @@ def prepare_lexicon(
         words = _few_words(table, row_words)
         if words is not None:
             return Lookup("row", table, words)
+    folder = new_folder(table.sparkSession, "lexicon")
+    table.write.parquet(folder)
+    table = table.sparkSession.read.schema(table.schema).parquet(folder)
     size = measure(table)
     if strategy in ("auto", "broadcast") and fits_broadcast(size):
         return Lookup("broadcast", table, {})
@@ -104,9 +110,10 @@ def label_posts(
     edges: str = "clean",
     text: str = "text",
     key: str | Sequence[str] = "id",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """`key`, `score` and `label` for every post, from its text."""
-    keys = [key] if isinstance(key, str) else list(key)
+    """`key`, the columns `keep`, `score` and `label` for every post, from its text."""
+    keys = [*([key] if isinstance(key, str) else key), *keep]
     tokens = posts.select(*keys, tokenize(F.col(text), tokenizer).alias("_tokens"))
     return label_tokens(tokens, lexicon, edges=edges, tokens="_tokens", key=keys)
 
@@ -120,7 +127,7 @@ def label_tokens(
 ) -> DataFrame:
     """`key`, `score` and `label` for every post, from its token array.
 
-    Only the two join strategies need `key` to be unique.
+    Every row is a post of its own: keys may repeat or be NULL.
     """
     if edges not in EDGES:
         raise ValueError(f"edges must be one of {EDGES}, not {edges!r}")
@@ -179,17 +186,23 @@ def _constants(words: Sequence[str]) -> str:
     """Words as a comma-separated list of SQL constants.
 
     Words with a quote or a backslash are given as bytes, whose meaning does not
-    depend on how the session reads escapes.
+    depend on how the session reads escapes; so are those with a dollar sign, which
+    could name a variable that SQL text would have replaced.
     """
     return ", ".join(
-        f"CAST(X'{word.encode().hex()}' AS STRING)" if "'" in word or "\\" in word else f"'{word}'"
+        f"CAST(X'{word.encode().hex()}' AS STRING)" if any(mark in word for mark in "'\\$") else f"'{word}'"
         for word in words
     )
 
 
 def _score_by_join(cut: DataFrame, lookup: Lookup, keys: list[str], edges: str) -> DataFrame:
-    """The same by a join of single tokens with the lexicon."""
-    words = cut.select(
+    """The same by a join of single tokens with the lexicon.
+
+    A number given to each row before its tokens part tells posts with equal keys apart. It
+    comes from the place of the row in its split, so a task that is run again gives it anew.
+    """
+    words = cut.withColumn("_row", F.monotonically_increasing_id()).select(
+        "_row",
         *keys,
         F.array_size("_tokens").alias("_n"),
         F.explode_outer(F.expr(_SCORED[edges])).alias("word"),
@@ -197,7 +210,7 @@ def _score_by_join(cut: DataFrame, lookup: Lookup, keys: list[str], edges: str)
     if lookup.strategy == "broadcast":
         found = words.join(F.broadcast(lookup.table), "word", "left")
     else:
-        found = salted_join(words, lookup.table, "word", "left", [F.col(k) for k in keys])
+        found = salted_join(words, lookup.table, "word", "left", [F.col("_row")])
     points = (
         F.when(F.col("polarity") == "positive", 1)
         .when(F.col("polarity") == "negative", -1)
@@ -206,4 +219,4 @@ def _score_by_join(cut: DataFrame, lookup: Lookup, keys: list[str], edges: str)
     # Of a post of one token there is one row, so its polarity can be part of the
     # group, which leaves a sum of numbers as the only thing to aggregate.
     own = F.when(F.col("_n") == 1, F.col("polarity")).alias("_polarity")
-    return found.groupBy(*keys, "_n", own).agg(F.sum(points).alias("score"))
+    return found.groupBy("_row", *keys, "_n", own).agg(F.sum(points).alias("score"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import (
@@ -38,6 +38,7 @@ from ..sources import (
     first_polarity,
     has_next,
     infer_schema,
+    page_counts,
     page_posts,
     parse_keyed,
     parse_pages,
@@ -68,6 +69,13 @@ RULES = {"from:src2": "src2 account", "from:src7": "src7 account"}
 LOOKUP_TOKEN = "the"
 LOOKUP_WORD = "red-7"
 LINES_PER_FILE = 10
+HOSTILE_WORDS = {
+    "${env:HOME}": "positive",
+    "${spark.app.name}": "negative",
+    "don't": "negative",
+    "a\\b": "positive",
+    '"q"': "both",
+}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str | Column) -> DataFrame:
@@ -143,6 +151,47 @@ def sentiment_single_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_posts(_parts(spark, sf_dir), lexicon, text="p_type", key="p_partkey")
 
 
+def _repeated_keys(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
+    """Turns keyed by their conversation alone, which repeats and is NULL for some."""
+    key = F.when(F.col("conv_id") % 7 != 0, F.col("conv_id")).alias("conv_id")
+    posts = _conversations(spark, sf_dir).select(key, "text")
+    return label_posts(posts, prepare_lexicon(_sample_lexicon(spark), strategy), "nw", key="conv_id")
+
+
+def sentiment_keys_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repeated_keys(spark, sf_dir, "row")
+
+
+def sentiment_keys_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repeated_keys(spark, sf_dir, "broadcast")
+
+
+def sentiment_keys_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repeated_keys(spark, sf_dir, "salted")
+
+
+def sentiment_large_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents has a polarity, by its length."""
+    posts = _documents(spark, sf_dir)
+    words = posts.select(F.explode(tokens_ws(F.col("text"))).alias("word")).distinct()
+    polarity = F.get(F.array(*map(F.lit, ("neutral", "positive", "negative"))), F.length("word") % 3)
+    return label_posts(posts, words.where("word != ''").withColumn("polarity", polarity), key="doc_id")
+
+
+def sentiment_hostile_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two words that SQL text would change, before every document."""
+    words = spark.createDataFrame(list(HOSTILE_WORDS.items()), "word string, polarity string")
+    listed = F.array(*map(F.lit, HOSTILE_WORDS))
+    pick = lambda i: F.get(listed, F.pmod(F.col("doc_id") + i, F.lit(len(HOSTILE_WORDS))).cast("int"))
+    posts = _documents(spark, sf_dir).select("doc_id", F.concat_ws(" ", pick(0), pick(1), "text").alias("text"))
+    return label_posts(posts, prepare_lexicon(words, "row"), key="doc_id")
+
+
+def labels_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = prepare_lexicon(_sample_lexicon(spark), "broadcast")
+    return label_posts(_conversations(spark, sf_dir), lexicon, "nw", key="conv_id", keep=["turn", "text"])
+
+
 def label_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = _conversations(spark, sf_dir)
     return label_counts(label_posts(posts, _sample_lexicon(spark), "nw", key=["conv_id", "turn"]))
@@ -250,6 +299,26 @@ def _stored_pages(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def corrupt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of which every tenth was cut off half-way."""
+    lines = spark.read.text(_stored_pages(spark, sf_dir))
+    number = F.regexp_extract("value", r'"id":"(\d+)-0"', 1).cast("bigint")
+    cut = F.when(number % 10 == 3, F.substr("value", F.lit(1), (F.length("value") / 2).cast("int")))
+    path = new_folder(spark, "cut-pages")
+    lines.select(F.coalesce(cut, "value").alias("value")).write.text(path)
+    return page_counts(spark, path)
+
+
+def account_rules_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose posts carry an account, and a report of those that stored rules name."""
+    documents = _table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    post = F.struct(F.col("doc_id").cast("string").alias("id"), "text", F.col("source").alias("account"))
+    pages, rules = new_folder(spark, "pages"), new_folder(spark, "rules")
+    documents.select(F.array(post).alias("data")).write.json(pages)
+    store_rules(rules_table(spark, RULES), rules)
+    return account_report(spark, pages, _sample_lexicon_file(spark), rules=rules)
+
+
 def _last_document(spark: SparkSession, sf_dir: str) -> Column:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.max("doc_id")).scalar()
 
@@ -340,14 +409,20 @@ def _landed_documents(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def _third(spark: SparkSession, path: str) -> int:
+    """A third of the files of a folder, so that a stream over them takes three batches."""
+    return max(1, len(spark.read.text(path).inputFiles()) // 3)
+
+
 def _token_lake(spark: SparkSession, sf_dir: str, row_group_bytes: int | None = None) -> str:
-    path = new_folder(spark, "tokens")
+    path, landed = new_folder(spark, "tokens"), _landed_documents(spark, sf_dir)
     stream = tokenize_lake(
         spark,
-        _landed_documents(spark, sf_dir),
+        landed,
         path,
         new_folder(spark, "tokens-checkpoint"),
         available_now=True,
+        max_files=_third(spark, landed),
         row_group_bytes=row_group_bytes,
     )
     run_available(stream, STREAM_TIMEOUT)
@@ -364,14 +439,15 @@ def stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed_labels(spark: SparkSession, sf_dir: str) -> str:
-    path = new_folder(spark, "labels")
+    path, tokens = new_folder(spark, "labels"), _token_lake(spark, sf_dir)
     stream = score_lake(
         spark,
-        _token_lake(spark, sf_dir),
+        tokens,
         _sample_lexicon_file(spark),
         path,
         new_folder(spark, "labels-checkpoint"),
         available_now=True,
+        max_files=_third(spark, tokens),
     )
     run_available(stream, STREAM_TIMEOUT)
     return path
@@ -408,8 +484,8 @@ def landed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = new_folder(spark, "files")
     land_lines(roll_files(number_lines(lines, "doc_id"), LINES_PER_FILE), path)
-    return spark.read.json(path, schema="data struct<id:string>, file_no bigint").select(
-        "file_no", F.col("data.id").alias("id")
+    return spark.read.json(path, schema="data struct<id:string,text:string>, file_no bigint").select(
+        "file_no", "data.*"
     )
 
 
@@ -417,27 +493,31 @@ def landed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _documents(spark, sf_dir).select(F.to_json(F.struct(_stream_line())).alias("value"))
     path = new_folder(spark, "chunks")
     land_chunks(lines, path, LINES_PER_FILE)
-    return _file_sizes(spark, path)
+    return _landed_posts(spark, path)
 
 
 def stream_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_folder(spark, "live")
+    path, landed = new_folder(spark, "live"), _landed_documents(spark, sf_dir)
     stream = land_live(
         spark,
-        _landed_documents(spark, sf_dir),
+        landed,
         path,
         new_folder(spark, "live-checkpoint"),
         LINES_PER_FILE,
         available_now=True,
+        max_files=_third(spark, landed),
     )
     run_available(stream, STREAM_TIMEOUT)
-    return _file_sizes(spark, path)
+    return _landed_posts(spark, path)
 
 
-def _file_sizes(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).count()
-    within = (F.max("count") <= LINES_PER_FILE).alias("within_size")
-    return files.agg(F.sum("count").alias("n_lines"), within)
+def _landed_posts(spark: SparkSession, path: str) -> DataFrame:
+    """The landed posts, and whether their file has no more lines than it may."""
+    posts = spark.read.json(path, schema="data struct<id:string,text:string>").select(
+        "data.*", F.col("_metadata.file_path").alias("file")
+    )
+    lines = F.count(F.lit(1)).over(Window.partitionBy("file"))
+    return posts.withColumn("within_size", lines <= LINES_PER_FILE).drop("file")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -450,6 +530,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sentiment_ref_ws": sentiment_ref_ws,
     "sentiment_ref_nw": sentiment_ref_nw,
     "sentiment_single_token": sentiment_single_token,
+    "sentiment_keys_row": sentiment_keys_row,
+    "sentiment_keys_broadcast": sentiment_keys_broadcast,
+    "sentiment_keys_salted": sentiment_keys_salted,
+    "sentiment_large_lexicon": sentiment_large_lexicon,
+    "sentiment_hostile_words": sentiment_hostile_words,
+    "labels_with_text": labels_with_text,
     "label_counts": label_count,
     "lexicon_keyed": lexicon_keyed,
     "lexicon_positional": lexicon_positional,
@@ -466,6 +552,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "union_pages": union_pages,
     "page_has_next": page_has_next,
     "account_report": batch_job,
+    "account_rules_report": account_rules_report,
+    "corrupt_pages": corrupt_pages,
     "rule_ids": rules_in_force,
     "match_rules": matched_rules,
     "match_rules_semi": ruled_posts,

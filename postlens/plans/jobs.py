@@ -15,15 +15,17 @@ from ..operators import (
     label_report,
     label_tokens,
     land_lines,
+    match_rules,
     number_lines,
     roll_files,
 )
 from ..operators.landing import LINES_PER_FILE
-from ..sizing import spread
+from ..schemas import ACCOUNT_PAGE, PAGE
 from ..sources import (
     page_posts,
     read_lexicon,
     read_pages,
+    read_rules,
     read_tokens,
     stream_lines,
     token_rows,
@@ -31,15 +33,27 @@ from ..sources import (
 from ..streaming import read_labels, start_labels, start_landing, start_tokens, stream_tokens
 
 
+# Input files of a micro-batch, so that a backlog is not one batch that is repeated whole.
+MAX_FILES = 1_000
+
+
 def account_report(
     spark: SparkSession,
     pages: str,
     lexicon: str,
     edges: str = "clean",
     multi_line: bool = False,
+    rules: str | None = None,
 ) -> DataFrame:
-    """Stored search pages to a share report, ordered by label."""
-    posts = page_posts(spread(read_pages(spark, pages, multi_line=multi_line)))
+    """Stored search pages to a share report, ordered by label.
+
+    With `rules`, a folder of stored rules, only posts whose account one of them names
+    count; the pages then carry an account with each post.
+    """
+    schema = PAGE if rules is None else ACCOUNT_PAGE
+    posts = page_posts(read_pages(spark, pages, schema, multi_line))
+    if rules is not None:
+        posts = match_rules(posts, read_rules(spark, rules), tags=False)
     words = read_lexicon(spark, lexicon, "keyed")
     return label_report(label_posts(posts, words, "ws", edges), "label")
 
@@ -62,9 +76,13 @@ def land_live(
     checkpoint: str,
     per_file: int = LINES_PER_FILE,
     available_now: bool = False,
+    max_files: int | None = MAX_FILES,
 ) -> StreamingQuery:
     """Text lines to landing files as they arrive, as a running stream."""
-    return start_landing(spark.readStream.text(lines), path, checkpoint, per_file, available_now)
+    reader = spark.readStream
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return start_landing(reader.text(lines), path, checkpoint, per_file, available_now)
 
 
 def tokenize_lake(
@@ -73,7 +91,7 @@ def tokenize_lake(
     path: str,
     checkpoint: str,
     available_now: bool = False,
-    max_files: int | None = None,
+    max_files: int | None = MAX_FILES,
     row_group_bytes: int | None = None,
     keep_corrupt: bool = False,
 ) -> StreamingQuery:
@@ -87,7 +105,7 @@ def lake_report(
 ) -> DataFrame:
     """The token table to a share report, largest share first."""
     words = read_lexicon(spark, lexicon, "positional")
-    return label_report(label_tokens(spread(read_tokens(spark, tokens)), words, edges), "share")
+    return label_report(label_tokens(read_tokens(spark, tokens), words, edges), "share")
 
 
 def score_lake(
@@ -98,7 +116,7 @@ def score_lake(
     checkpoint: str,
     edges: str = "clean",
     available_now: bool = False,
-    max_files: int | None = None,
+    max_files: int | None = MAX_FILES,
 ) -> StreamingQuery:
     """The token table to labels, micro-batch by micro-batch, as a running stream."""
     words = read_lexicon(spark, lexicon, "positional")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sample_lexicon import sample_lines
-from .catalog import LINES_PER_FILE, LOOKUP_TOKEN, LOOKUP_WORD, RULES
+from .catalog import HOSTILE_WORDS, LINES_PER_FILE, LOOKUP_TOKEN, LOOKUP_WORD, RULES
 
 _SAMPLE_RAW = "raw(ord, value) AS (VALUES " + ", ".join(
     f"({number}, '{line}')" for number, line in enumerate(sample_lines(), 1)
@@ -54,6 +54,7 @@ def _labels(
     edges: str,
     parse: str = _KEYED,
     ctes: str = "",
+    lexicon: str = "",
 ) -> str:
     """Common table expressions that end in `labels(keys, score, label)`."""
     tokens = split.format(text)
@@ -69,10 +70,8 @@ def _labels(
         single = ""
     on = " AND ".join(f"cut.{k.strip()} = scores.{k.strip()}" for k in keys.split(","))
     cut_keys = ", ".join(f"cut.{k.strip()}" for k in keys.split(","))
-    return f"""WITH {ctes}{_SAMPLE_RAW},
-{parse},
-{_FIRST},
-{_LEXICON},
+    lexicon = lexicon or ",\n".join([_SAMPLE_RAW, parse, _FIRST, _LEXICON])
+    return f"""WITH {ctes}{lexicon},
 {cut},
 scores AS (
     SELECT {keys}, sum(CASE polarity WHEN 'positive' THEN 1 WHEN 'negative' THEN -1 ELSE 0 END) AS score
@@ -108,10 +107,34 @@ _ROLLED = f"""rolled AS (
         (SELECT count(*) FROM documents) // {LINES_PER_FILE} AS finished
     FROM documents)"""
 
+_LANDED = "SELECT CAST(doc_id AS VARCHAR) AS id, text, true AS within_size FROM documents"
+
 _FLAT_TOKENS = "'[' || array_to_string(" + _NW.format("text") + ", ', ') || ']'"
 
 _RULE_VALUES = ", ".join(f"('{value}', '{tag}')" for value, tag in RULES.items())
 
+_KEYS = _labels(
+    "posts",
+    "r",
+    "text",
+    _NW,
+    "clean",
+    ctes="""posts AS (SELECT conv_id * 100000 + turn AS r, conv_id, turn, text,
+    CASE WHEN conv_id % 7 <> 0 THEN conv_id END AS key FROM conversations),
+""",
+)
+
+_QUOTED = {word: word.replace("'", "''") for word in HOSTILE_WORDS}
+_HOSTILE = ", ".join(f"'{word}'" for word in _QUOTED.values())
+_HOSTILE_LEXICON = "lexicon(word, polarity) AS (VALUES " + ", ".join(
+    f"('{_QUOTED[word]}', '{polarity}')" for word, polarity in HOSTILE_WORDS.items()
+) + ")"
+_HOSTILE_TEXT = f"""([{_HOSTILE}][doc_id % {len(HOSTILE_WORDS)} + 1] || ' '
+    || [{_HOSTILE}][(doc_id + 1) % {len(HOSTILE_WORDS)} + 1] || ' ' || text)"""
+_ALL_WORDS = f"""lexicon AS (
+    SELECT word, (['neutral', 'positive', 'negative'])[length(word) % 3 + 1] AS polarity
+    FROM (SELECT DISTINCT unnest({_WS.format("text")}) AS word FROM documents) WHERE word <> '')"""
+
 ORACLE: dict[str, str] = {
     "sentiment_report_ws": _DOCUMENTS_WS + _REPORT + "label",
     "sentiment_report_nw": _DOCUMENTS_NW + _REPORT + "pct DESC, label",
@@ -124,6 +147,31 @@ ORACLE: dict[str, str] = {
     "sentiment_single_token": _labels("part", "p_partkey", "p_type", _WS, "clean") + _ALL,
     "label_counts": _labels("conversations", "conv_id, turn", "text", _NW, "clean")
     + "SELECT label, count(*) AS n FROM labels GROUP BY label",
+    **{
+        f"sentiment_keys_{plan}": _KEYS + "SELECT key AS conv_id, score, label FROM labels JOIN posts USING (r)"
+        for plan in ("row", "broadcast", "salted")
+    },
+    "sentiment_large_lexicon": _labels(
+        "documents", "doc_id", "text", _WS, "clean", lexicon=_ALL_WORDS
+    )
+    + _ALL,
+    "sentiment_hostile_words": _labels(
+        "documents", "doc_id", _HOSTILE_TEXT, _WS, "clean", lexicon=_HOSTILE_LEXICON
+    )
+    + _ALL,
+    "labels_with_text": _KEYS + "SELECT conv_id, turn, text, score, label FROM labels JOIN posts USING (r)",
+    "account_rules_report": _labels(
+        "documents", "doc_id", "text", _WS, "clean"
+    )
+    + f"""SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER () * 100, 2) AS pct
+FROM labels JOIN documents USING (doc_id)
+WHERE 'from:' || source IN (SELECT value FROM (VALUES {_RULE_VALUES}) rules(value, tag))
+GROUP BY label ORDER BY label""",
+    "corrupt_pages": """SELECT count(*) AS n_pages, count(*) FILTER (cut) AS n_corrupt,
+    coalesce(sum(lines) FILTER (NOT cut), 0)::BIGINT AS n_posts,
+    count(*) FILTER (NOT cut AND last) AS n_last
+FROM (SELECT doc_id % 10 = 3 AS cut, len(string_split(text, chr(10))) AS lines,
+    doc_id = (SELECT max(doc_id) FROM documents) AS last FROM documents)""",
     "lexicon_keyed": f"WITH {_PART_RAW}, {_KEYED} SELECT word, polarity FROM parsed",
     "lexicon_positional": f"WITH {_PART_RAW}, {_POSITIONAL} SELECT word, polarity FROM parsed",
     "lexicon_dedup": f"WITH {_PART_RAW}, {_KEYED}, {_FIRST} SELECT word, polarity FROM first_lines",
@@ -157,12 +205,13 @@ WHERE 'from:' || source IN (SELECT value FROM (VALUES {_RULE_VALUES}) rules(valu
     "stream_report": _LAKE + _REPORT + "pct DESC, label",
     "stream_labels": _LAKE + "SELECT CAST(doc_id AS VARCHAR) AS id, score, label FROM labels",
     "stream_labels_report": _LAKE + _REPORT + "pct DESC, label",
-    "stream_landing": "SELECT count(*) AS n_lines, true AS within_size FROM documents",
+    "stream_landing": _LANDED,
     "sink_row_groups": f"""SELECT CAST(doc_id AS VARCHAR) AS id, len({_NW.format("text")}) AS n_tokens
 FROM documents""",
     "roll_files": f"""WITH {_ROLLED}
 SELECT file_no, file_no <= finished AS published, count(*) AS n_lines FROM rolled GROUP BY ALL""",
     "land_lines": f"""WITH {_ROLLED}
-SELECT file_no, CAST(doc_id AS VARCHAR) AS id FROM rolled WHERE file_no <= finished""",
-    "land_chunks": "SELECT count(*) AS n_lines, true AS within_size FROM documents",
+SELECT file_no, CAST(doc_id AS VARCHAR) AS id, text FROM rolled JOIN documents USING (doc_id)
+WHERE file_no <= finished""",
+    "land_chunks": _LANDED,
 }

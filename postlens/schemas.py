@@ -6,6 +6,8 @@ is absent from the input is a NULL instead of an analysis error.
 
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+# The field names below are those of the payloads and files that are read.
+
 POST = StructType([StructField("id", StringType()), StructField("text", StringType())])
 
 # One paged search response: the posts of the page and the token of the next page.
@@ -16,6 +18,10 @@ PAGE = StructType(
     ]
 )
 
+# The same with the account of each post, where the service was asked for it.
+ACCOUNT_POST = StructType([*POST.fields, StructField("account", StringType())])
+ACCOUNT_PAGE = StructType([StructField("data", ArrayType(ACCOUNT_POST)), PAGE["meta"]])
+
 # One line of the post stream.
 STREAM_LINE = StructType([StructField("data", POST)])
 

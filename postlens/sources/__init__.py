@@ -10,7 +10,7 @@ from .lexicon import (
     word_polarity,
 )
 from .lines import infer_schema, read_lines, sample_file, stream_lines, token_rows
-from .pages import has_next, page_posts, parse_pages, read_pages, union_posts
+from .pages import has_next, page_counts, page_posts, parse_pages, read_pages, union_posts
 from .rules import parse_rule_responses, read_rules, rule_ids, rules_table, store_rules
 from .tables import read_tokens
 
@@ -18,6 +18,7 @@ __all__ = [
     "first_polarity",
     "has_next",
     "infer_schema",
+    "page_counts",
     "page_posts",
     "parse_keyed",
     "parse_pages",

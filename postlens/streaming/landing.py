@@ -17,6 +17,8 @@ def start_landing(
 ) -> StreamingQuery:
     """Land every line once, in files of at most `per_file` lines.
 
+    Batches are as large as the source of `lines` makes them.
+
     Readers of the folder see a file once its micro-batch is committed. Unlike
     `land_lines` no line waits for the next one: the end of a micro-batch is landed
     in a shorter file.

@@ -46,7 +46,7 @@ def test_the_jobs_in_their_order(run, tmp_path, capfd):
     run("land", lines, tmp_path / "landed")
     run("tokenize", tmp_path / "landed", tmp_path / "tokens", tmp_path / "ck", "--available-now")
     run("score", tmp_path / "tokens", lexicon, tmp_path / "labels", tmp_path / "ck2", "--available-now")
-    assert list((tmp_path / "labels").glob("batch_id=*"))
+    assert list((tmp_path / "labels").glob("*.parquet"))
     run("labels-report", tmp_path / "labels")
     scored = capfd.readouterr().out
     run("lake-report", tmp_path / "tokens", lexicon)

@@ -7,6 +7,7 @@ from postlens.plans import account_report
 from postlens.sample_lexicon import sample_lines
 from postlens.sources import (
     has_next,
+    page_counts,
     page_posts,
     parse_pages,
     parse_rule_responses,
@@ -126,3 +127,15 @@ def test_no_rules(spark, sized):
     posts = spark.createDataFrame(POSTS, "id int, account string")
     assert match_rules(posts, rules_table(spark, {})).isEmpty()
     assert match_rules(posts, rules_table(spark, {}), tags=False).isEmpty()
+
+
+def test_a_page_cut_off_is_an_error_or_counted(spark, tmp_path):
+    whole = '{"data":[{"id":"1","text":"a"},{"id":"2","text":"b"}],"meta":{"next_token":"x"}}'
+    lines = [whole, whole[:40], '{"meta":{}}']
+    path = tmp_path / "pages"
+    path.mkdir()
+    (path / "pages.json").write_text("\n".join(lines))
+    with pytest.raises(Exception, match="MALFORMED"):
+        page_posts(read_pages(spark, str(path))).collect()
+    assert page_posts(read_pages(spark, str(path), mode="PERMISSIVE")).count() == 2
+    assert page_counts(spark, str(path)).first() == (3, 1, 2, 1)

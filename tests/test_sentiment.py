@@ -113,14 +113,32 @@ def test_copies_count_separately(spark, lexicon):
     assert [(r.label, r.n, r.pct) for r in report] == [("negative", 1, 25.0), ("positive", 3, 75.0)]
 
 
-def test_the_row_plan_needs_no_unique_key(spark, lexicon):
-    posts = frame(spark, ["so good today", "so bad today"]).withColumn("id", F.lit("same"))
-    labels = label_posts(posts, prepare_lexicon(lexicon, "row"))
-    assert sorted(r.label for r in labels.collect()) == ["negative", "positive"]
+@pytest.mark.parametrize("plan", ["row", "broadcast", "salted"])
+def test_keys_may_repeat_or_be_missing(spark, lexicon, plan):
+    rows = [("1", "good x"), ("1", "bad x"), (None, "good x"), (None, "bad x"), ("2", "good x")]
+    posts = spark.createDataFrame(rows, "id string, text string")
+    labels = label_posts(posts, prepare_lexicon(lexicon, plan), keep=["text"]).collect()
+    assert sorted((str(r.id), r.text, r.label) for r in labels) == sorted(
+        (str(i), t, "positive" if "good" in t else "negative") for i, t in rows
+    )
+
+
+@pytest.mark.parametrize("plan", ["row", "broadcast", "salted"])
+def test_a_prepared_lexicon_does_not_change(spark, tmp_path, plan):
+    path = str(tmp_path / "words")
+    words = spark.createDataFrame([("good", "positive")], "word string, polarity string")
+    words.write.parquet(path)
+    lookup = prepare_lexicon(spark.read.parquet(path), plan)
+    words.selectExpr("word", "'negative' AS polarity").write.mode("overwrite").parquet(path)
+    posts = spark.createDataFrame([("1", "so good")], "id string, text string")
+    assert label_posts(posts, lookup).first().label == "positive"
 
 
 def test_words_with_quotes_and_backslashes(spark):
-    words = {"don't": "negative", "a\\b": "positive", 'say"': "positive", "\\'": "negative"}
+    words = {
+        "don't": "negative", "a\\b": "positive", 'say"': "positive", "\\'": "negative",
+        "${env:HOME}": "positive", "${spark.app.name}": "negative", "a\nb": "positive", "$": "negative",
+    }
     table = spark.createDataFrame(
         pa.table({"word": list(words), "polarity": list(words.values())})
     )

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postlens.functions import tokens_nw
-from postlens.operators import label_posts, label_report
+from postlens.operators import label_posts, label_report, label_tokens, prepare_lexicon
 from postlens.plans import lake_report, score_lake, tokenize_lake
 from postlens.sample_lexicon import sample_lines
 from postlens.sources import infer_schema, read_lines, read_tokens, sample_file, token_rows
@@ -122,22 +122,49 @@ def test_streamed_labels(spark, documents, lexicon, landed, lexicon_file, tmp_pa
             str(tmp_path / "labels-ck"), available_now=True, max_files=1,
         )
         run_available(stream, TIMEOUT)
+    assert len(list((tmp_path / "labels-ck" / "commits").glob("[0-9]*"))) > 1
     labels = read_labels(spark, str(tmp_path / "labels"))
-    assert labels.select("batch_id").distinct().count() > 1
     expected = label_posts(documents.withColumnRenamed("doc_id", "id"), lexicon, "nw")
     got = labels.select(F.col("id").cast("bigint"), "score", "label")
     assert got.count() == 1_000 and got.exceptAll(expected).isEmpty()
 
 
-def test_a_repeated_batch_replaces_itself(spark, lexicon, landed, tmp_path):
-    """The batches run again under the same numbers, as after a lost checkpoint commit."""
+def score(spark, lexicon, tmp_path, plan, checkpoint="labels-ck", path="labels"):
+    stream = start_labels(
+        stream_tokens(spark, str(tmp_path / "tokens"), max_files=1), prepare_lexicon(lexicon, plan),
+        str(tmp_path / path), str(tmp_path / checkpoint), available_now=True,
+    )
+    run_available(stream, TIMEOUT)
+
+
+@pytest.mark.parametrize("plan", ["row", "broadcast"])
+def test_a_repeated_batch_adds_nothing(spark, lexicon, landed, tmp_path, plan):
+    """The last batch runs again under its number, as after a lost checkpoint commit."""
     tokenize(spark, landed, tmp_path, max_files=1)
-    for attempt in range(2):
-        stream = start_labels(
-            stream_tokens(spark, str(tmp_path / "tokens"), max_files=1), lexicon,
-            str(tmp_path / "labels"), str(tmp_path / f"labels-ck-{attempt}"), available_now=True,
-        )
-        run_available(stream, TIMEOUT)
+    score(spark, lexicon, tmp_path, plan)
+    commits = sorted((tmp_path / "labels-ck" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    assert len(commits) > 1
+    commits[-1].unlink()
+    (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    score(spark, lexicon, tmp_path, plan)
+    expected = label_tokens(read_tokens(spark, str(tmp_path / "tokens")), lexicon)
+    got = read_labels(spark, str(tmp_path / "labels")).select("id", "score", "label")
+    assert got.count() == 1_000 and got.exceptAll(expected).isEmpty()
+
+
+def test_a_label_folder_belongs_to_one_stream(spark, lexicon, landed, tmp_path):
+    tokenize(spark, landed, tmp_path, max_files=1)
+    score(spark, lexicon, tmp_path, "row")
+    for plan, checkpoint, path in (
+        ("row", "other-ck", "labels"),
+        ("broadcast", "labels-ck", "labels"),
+        ("row", "labels-ck", "other"),
+    ):
+        with pytest.raises(ValueError):
+            score(spark, lexicon, tmp_path, plan, checkpoint, path)
+    (tmp_path / "labels-ck").rename(tmp_path / "lost-ck")
+    with pytest.raises(ValueError):
+        score(spark, lexicon, tmp_path, "row")
     assert read_labels(spark, str(tmp_path / "labels")).count() == 1_000
 
 

@@ -151,41 +151,51 @@ def printed(fingerprint: Column) -> Column:
 
 
 def with_successors(keyed: DataFrame) -> DataFrame:
-    """`row, previous, need` for distinct rows `row, id, n_chars`: who each row follows.
+    """`row, previous, id, need, repeated` for distinct rows `row, id, n_chars`: who each follows.
 
     The order is by falling `id`, NULL last, then by `row`; the first row follows the last.
-    `need` is half of the previous row's characters. Rows are dealt by ranges and numbered
+    `id` and `need`, half of its characters, are those of the previous row, and `repeated` says
+    whether the row itself came more than once. Rows are dealt by ranges and numbered
     within each; what passes between ranges is the first row of each.
     """
     spark = keyed.sparkSession
     order = [F.col("id").desc_nulls_last(), F.col("row")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = new_folder(spark, "order")
-    keyed.distinct().repartitionByRange(parts, *order).withColumn(
+    keyed = keyed.groupBy("row", "id", "n_chars").agg((F.count(F.lit(1)) > 1).alias("repeated"))
+    keyed.repartitionByRange(parts, *order).withColumn(
         "part", F.spark_partition_id()
     ).write.parquet(folder)
     ranged = spark.read.parquet(folder)
     window = Window.partitionBy("part").orderBy(*order)
     ranged = ranged.withColumns(
-        {"_next": F.lead("row").over(window), "_first": F.row_number().over(window) == 1}
+        {
+            "_next": F.lead(F.struct("row", "repeated")).over(window),
+            "_first": F.row_number().over(window) == 1,
+        }
     )
     folder = new_folder(spark, "order-next")
     ranged.write.parquet(folder)
     ranged = spark.read.parquet(folder)
     # One row per range: its first row, and where the range before it goes on.
     whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = ranged.where("_first").select(
-        "part",
-        F.coalesce(F.lead("row").over(Window.orderBy("part")), F.first("row").over(whole)).alias("_after"),
-    )
-    linked = ranged.join(F.broadcast(firsts), "part")
+    firsts = ranged.where("_first").select("part", F.struct("row", "repeated").alias("_row"))
+    after = F.coalesce(F.lead("_row").over(Window.orderBy("part")), F.first("_row").over(whole))
+    linked = ranged.join(F.broadcast(firsts.select("part", after.alias("_after"))), "part")
+    following = F.coalesce("_next", "_after")
     return linked.select(
-        F.coalesce("_next", "_after").alias("row"),
+        following["row"].alias("row"),
+        following["repeated"].alias("repeated"),
         F.col("row").alias("previous"),
+        "id",
         F.floor(F.col("n_chars") / 2).cast("int").alias("need"),
     )
 
 
+def _any_repeated(order: DataFrame) -> bool:
+    return not order.where("repeated").isEmpty()
+
+
 def row_key(*columns: Column) -> Column:
     """16 bytes that name a row by its values."""
     marked = [F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns]
@@ -208,13 +218,18 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")
     ).withColumn("row", row_key(F.col("id"), F.col("text")))
     order = with_successors(texts.select("row", "id", F.length("text").alias("n_chars")))
-    texts = with_fingerprint(texts, "text", "fingerprint")
+    # Both joins read the same columns, so that texts are fingerprinted and shuffled once.
+    texts = with_fingerprint(texts.select("row", "text"), "text", "fingerprint")
     pieces = texts.join(order, "row").select(
         F.col("previous").alias("row"),
+        "id",
+        "repeated",
         F.substr("text", F.lit(1), F.col("need")).alias("piece"),
         F.col("fingerprint").alias("next"),
     )
-    pieces = pieces.dropDuplicates(["row"])
+    # A row that came more than once gave its piece as often; the others need no grouping.
+    again = pieces.where("repeated").dropDuplicates(["row"])
+    pieces = pieces.where("NOT repeated").union(again) if _any_repeated(order) else pieces
     half = F.length("text") - F.floor(F.length("text") / 2)
     edited = F.concat(F.substr("text", F.lit(1), half.cast("int")), "piece")
     joined = texts.join(pieces, "row").select(

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from postlens.llm.common import free_name
+
 SLOTS = 8192
 PARTS = 16  # numbering groups of a slot
 
@@ -96,31 +98,39 @@ def load_map(spark: SparkSession, folder: str, version: int) -> DataFrame:
 
 
 def with_slots(records: DataFrame, keys: list[str], slots: int = SLOTS) -> DataFrame:
-    """Adds `virtual_slot` and `_part`, a division of the slot for numbering."""
+    """Adds `virtual_slot`, and a division of the slot for numbering."""
     hashed = record_hash(*(F.col(key) for key in keys))
-    return records.withColumn("virtual_slot", virtual_slot(hashed, slots)).withColumn(
-        "_part", F.pmod(F.shiftright(hashed, 40), F.lit(PARTS)).cast("int")
+    return records.withColumns(
+        {
+            "virtual_slot": virtual_slot(hashed, slots),
+            PART: F.pmod(F.shiftright(hashed, 40), F.lit(PARTS)).cast("int"),
+        }
     )
 
 
+# A column that `place` takes away again.
+PART = "_slot_part"
+
+
 def place(records: DataFrame, placed: DataFrame, order: list[str]) -> DataFrame:
     """Adds `shard` and `slot`, the row's gapless number from 0 within its shard.
 
     Rows are numbered within (virtual slot, part), by `order`; the counts of these groups,
     a fixed number of rows, give each group its offset in the shard.
     """
+    offset, within = free_name(records, "_slot_offset"), free_name(records, "_slot_within")
     records = records.join(F.broadcast(placed.select("virtual_slot", "shard")), "virtual_slot")
-    group = ["shard", "virtual_slot", "_part"]
-    counts = records.groupBy(*group).count()
-    ahead = Window.partitionBy("shard").orderBy("virtual_slot", "_part")
-    before = F.sum("count").over(ahead.rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(*group, F.coalesce(before, F.lit(0)).alias("_offset"))
-    within = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
+    group = ["shard", "virtual_slot", PART]
+    counts = records.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.partitionBy("shard").orderBy("virtual_slot", PART)
+    before = F.sum("_n").over(ahead.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*group, F.coalesce(before, F.lit(0)).alias(offset))
+    number = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
     return (
-        records.withColumn("_within", within)
+        records.withColumn(within, number)
         .join(F.broadcast(offsets), group)
-        .withColumn("slot", (F.col("_offset") + F.col("_within")).cast("bigint"))
-        .drop("_part", "_within", "_offset")
+        .withColumn("slot", (F.col(offset) + F.col(within)).cast("bigint"))
+        .drop(PART, within, offset)
     )
 
 
@@ -136,9 +146,11 @@ def shard_records(
 
     Shards come out near equal in bytes, as far as single slots allow. Rows with equal
     `keys` share a slot; NULL keys are hashed like any value. Sizes must not be NULL. An
-    empty table gives an empty table and a map of empty slots.
+    empty table gives an empty table and a map of empty slots. Columns named like the new
+    ones are replaced.
     """
     spark = records.sparkSession
+    records = records.drop("virtual_slot", "shard", "slot", PART)
     records = with_slots(records, keys, slots)
     sizes = slot_bytes(records, size, slots)
     save_map(spark, folder, 1, first_map(sizes, shards), sizes)

@@ -40,7 +40,7 @@ def test_map_versions(spark):
     assert loaded == placed
     grown = sharding.edited_map(placed, sizes, 9)
     moved = {s for s in placed if placed[s] != grown[s]}
-    assert moved and all(grown[s] == 8 for s in moved)
+    assert len(moved) < len(placed) / 5 and sum(grown[s] == 8 for s in moved) >= 0.9 * len(moved)
     held = Counter()
     for slot, shard in grown.items():
         held[shard] += sizes[slot]
@@ -52,7 +52,7 @@ def test_map_versions(spark):
 
 def test_odd_rows(spark, odd, nothing):
     def sized(df):
-        return df.selectExpr("doc_id", "text", "source AS _offset", "cast(coalesce(octet_length(text), 0) + 8 AS bigint) AS size")
+        return df.selectExpr("doc_id", "text", "source AS _slot_offset", "score AS shard", "cast(coalesce(octet_length(text), 0) + 8 AS bigint) AS size")
 
     rows = sharding.shard_records(sized(odd), new_folder(spark, "m"), 3, ["doc_id", "text"]).collect()
     assert len(rows) == odd.count()

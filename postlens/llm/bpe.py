@@ -22,10 +22,14 @@ from postlens.llm.common import importable
 # Pieces, pairs and tokens a worker remembers; it forgets all of them beyond that.
 MEMO = 300_000
 
+# Rows whose results a worker holds at a time.
+ROWS = 500
+
 # Texts longer than this are cut into pieces one by one.
 LONG = 1_000_000
 
 _models: dict[str, Model] = {}
+_tables: dict[str, dict[int, bytes]] = {}
 
 
 class Model:
@@ -148,6 +152,21 @@ def model_of(content: bytes) -> Model:
     return _models[name]
 
 
+def table_of(content: bytes) -> dict[int, bytes]:
+    """The bytes of each id, which is all that decoding needs."""
+    name = hashlib.sha256(content).hexdigest()
+    if name not in _tables:
+        _tables[name] = {rank: token for token, rank in parse_ranks(content).items()}
+    return _tables[name]
+
+
+def parts_of(stream: Iterator) -> Iterator:
+    """The batches of a stream in parts of few rows."""
+    for batch in stream:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+
+
 def splitter(pattern: str):
     """The pattern, with white space as Unicode defines it instead of as Python does."""
     import regex
@@ -198,7 +217,7 @@ def encode(
         import numpy as np
 
         pieces, cut = model_of(vocabulary.value).pieces, splitter(pattern)
-        for batch in stream:
+        for batch in parts_of(stream):
             column = batch.column(len(keep))
             found = [
                 encode_text(value.as_py(), cut, pieces) if value.is_valid else b"" for value in column
@@ -230,8 +249,8 @@ def decode(tokens: DataFrame, ranks: str, ids: str = "ids", out: str = "decoded"
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        table = model_of(vocabulary.value).bytes
-        for batch in stream:
+        table = table_of(vocabulary.value)
+        for batch in parts_of(stream):
             column = batch.column(at)
             found = [
                 b"".join(map(table.__getitem__, np.asarray(value.values).tolist()))

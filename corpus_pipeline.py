@@ -20,8 +20,8 @@ from postlens.workspace import new_folder
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the likelihood ratio keep."""
-    trusted = quality.trusted_ids(document_rows(spark, sf_dir, "labels"))
-    judged = quality.judge_quality(docs, quality.fit_ratios(docs, trusted))
+    model = quality.fit_model(docs, document_rows(spark, sf_dir, "labels"))
+    judged = quality.judge_quality(docs, model.ratios, threshold=model.threshold, folds=model.folds)
     return judged.where("kept").select(*docs.columns)
 
 

@@ -2,20 +2,27 @@
 
 Words and word pairs are hashed into a fixed number of buckets. Two multinomials over
 the buckets, one of trusted documents and one of the whole corpus, give each bucket a
-log ratio; a document's score is the mean ratio of its n-grams. A fixed threshold on the
-score decides, so equal texts always fare alike.
+log ratio; a document's score is the mean ratio of its n-grams. Trusted texts are dealt
+to folds by hash, and no text is scored by trusted counts of its own fold, so none is
+credited with its own n-grams. The threshold is the one that best parts the labelled rows
+by these held-out scores. Equal texts share a fold and always fare alike.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.llm.common import SPACE_RUN, free_name, words
+from postlens.workspace import new_folder
 
 BUCKETS = 65_536
+LEAST_BUCKETS = 1_024
+GRAMS_A_BUCKET = 64
+FOLDS = 8
 TRUSTED = 20_000
 THRESHOLD = -0.1
 MIN_WORDS = 50
@@ -76,6 +83,10 @@ def with_shape(step: DataFrame, text: Column, names: dict[str, str]) -> DataFram
     return step.withColumn(names["n_repeat_words"], total).drop("_at")
 
 
+def _bounded(labels: DataFrame, key: str, most: int) -> DataFrame:
+    return labels.select(key).distinct().orderBy(F.xxhash64(key), key).limit(most)
+
+
 def trusted_ids(labels: DataFrame, key: str = "doc_id", most: int = TRUSTED) -> DataFrame:
     """Keys of documents labelled good and not toxic, at most `most` of them.
 
@@ -83,8 +94,12 @@ def trusted_ids(labels: DataFrame, key: str = "doc_id", most: int = TRUSTED) ->
     depends on a hash of the key, not on their order.
     """
     good = labels.where(f"quality = 1 AND coalesce(toxic, 0) = 0 AND {key} IS NOT NULL")
-    good = good.select(key).distinct()
-    return good.orderBy(F.xxhash64(key), key).limit(most)
+    return _bounded(good, key, most)
+
+
+def rejected_ids(labels: DataFrame, key: str = "doc_id", most: int = TRUSTED) -> DataFrame:
+    """Keys of documents labelled bad, bounded like `trusted_ids`."""
+    return _bounded(labels.where(f"quality = 0 AND {key} IS NOT NULL"), key, most)
 
 
 def fit_ratios(
@@ -116,6 +131,110 @@ def fit_ratios(
     return [math.log(t / trust_all) - math.log(r / raw_all) for t, r in zip(trust, raw, strict=True)]
 
 
+@dataclass(frozen=True)
+class Model:
+    """Ratios of all buckets, fold after fold, and the threshold on the scores they give."""
+
+    ratios: list[float]
+    folds: int
+    threshold: float
+
+
+def fold_of(text: Column, folds: int) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit("")), F.lit("fold")), F.lit(folds)).cast("int")
+
+
+def buckets_for(grams: int) -> int:
+    """A power of two, one bucket for 64 n-grams or more, from 1,024 to `BUCKETS`."""
+    wanted = max(1, grams // GRAMS_A_BUCKET)
+    return min(BUCKETS, max(LEAST_BUCKETS, 1 << (wanted - 1).bit_length()))
+
+
+def best_threshold(good: list[float], bad: list[float]) -> float:
+    """The score from which on documents are kept: least sum of the shares lost and kept wrongly.
+
+    It lies halfway between two scores. Of equal sums the lowest counts. Without good scores
+    it is 0, the score of everything then; without bad ones no good one is lost.
+    """
+    if not good or not bad:
+        return min(good, default=0.0)
+    marked = sorted([(x, 1 / len(good), 0.0) for x in good] + [(x, 0.0, 1 / len(bad)) for x in bad])
+    lost, kept = 0.0, 1.0
+    best, threshold = kept, marked[0][0]
+    for at, (x, of_good, of_bad) in enumerate(marked):
+        lost, kept = lost + of_good, kept - of_bad
+        following = marked[at + 1][0] if at + 1 < len(marked) else math.inf
+        if following > x and lost + kept < best - 1e-12:
+            best, threshold = lost + kept, x + 1e-9 if following == math.inf else (x + following) / 2
+    return threshold
+
+
+def fit_model(
+    docs: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    folds: int = FOLDS,
+) -> Model:
+    """Ratios by fold and the threshold, from `docs` and `labels` (`key`, `quality`, `toxic`).
+
+    Corpus counts are over all rows; trusted counts of a fold are over the trusted texts of
+    the other folds, so labelled and unlabelled texts are scored by the same rule. The
+    threshold is taken from the scores of trusted and of rejected rows that pass the base
+    rules, at most `TRUSTED` keys of each; a key of several rows counts by its least score.
+    The driver gets a row for each bucket and each of those keys.
+    """
+    trusted, rejected = trusted_ids(labels, key), rejected_ids(labels, key)
+    marks = trusted.select(F.col(key).alias("_key"), F.lit(True).alias("_good")).union(
+        rejected.select(F.col(key).alias("_key"), F.lit(False).alias("_good"))
+    )
+    good = F.broadcast(marks.where("_good"))
+    narrow = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    hashed = with_hashes(
+        narrow.withColumn("_fold", fold_of(F.col("_text"), folds)), F.col("_text"), ["_key", "_fold"]
+    ).join(good, "_key", "left")
+    part = F.when(F.col("_good"), F.col("_fold")).otherwise(F.lit(folds))
+    grams = hashed.select(part.alias("_part"), F.explode(F.concat("_one", "_two")).alias("_gram"))
+    counts = grams.groupBy(F.pmod("_gram", F.lit(BUCKETS)).cast("int").alias("bucket"), "_part").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    by_part = [F.sum(F.when(F.col("_part") == k, F.col("n"))).alias(f"p{k}") for k in range(folds + 1)]
+    rows = counts.groupBy("bucket").agg(*by_part).collect()
+    # A power of two divides `BUCKETS`, so buckets are folded together on the driver.
+    buckets = buckets_for(sum(n for row in rows for n in row[1:] if n))
+    trust = [[0] * buckets for _ in range(folds)]
+    raw = [1] * buckets
+    for bucket, *found in rows:
+        for k, n in enumerate(found):
+            raw[bucket % buckets] += n or 0
+            if n and k < folds:
+                trust[k][bucket % buckets] += n
+    whole = [sum(of_folds) for of_folds in zip(*trust, strict=True)]
+    raw_all, ratios = sum(raw), []
+    for own in trust:
+        others = [w - o + 1 for w, o in zip(whole, own, strict=True)]
+        total = sum(others)
+        if total == buckets:
+            ratios += [0.0] * buckets
+        else:
+            ratios += [
+                round(math.log(t / total) - math.log(r / raw_all), 6)
+                for t, r in zip(others, raw, strict=True)
+            ]
+    # Both are written, so that the optimiser does not repeat the steps' expressions in the
+    # join before them or the aggregate after them. They hold the labelled sample only.
+    spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "quality-labelled")
+    narrow.join(F.broadcast(marks), "_key").write.parquet(folder)
+    marked = spark.read.parquet(folder)
+    judged = judge_quality(marked, ratios, "_text", folds=folds)
+    folder = new_folder(spark, "quality-scores")
+    judged.select("_key", "_good", "score", "base_failed", "n_words").write.parquet(folder)
+    judged = spark.read.parquet(folder).where("NOT base_failed")
+    scores = judged.groupBy("_key", "_good").agg(F.min("score").alias("score")).collect()
+    held = {flag: [r["score"] for r in scores if r["_good"] == flag] for flag in (True, False)}
+    return Model(ratios, folds, best_threshold(held[True], held[False]))
+
+
 def ratio_table(ratios: list[float]) -> Column:
     """The ratios as one constant array; Spark folds it when it optimises the query."""
     return F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
@@ -126,6 +245,7 @@ def judge_quality(
     ratios: list[float],
     text: str = "text",
     threshold: float = THRESHOLD,
+    folds: int = 1,
 ) -> DataFrame:
     """Every row of `docs` with its counts, `base_failed`, `score` and `kept`.
 
@@ -133,15 +253,19 @@ def judge_quality(
     text without words. `base_failed`: fewer than 50 words, or more than half of the words
     in repeated windows of three. `kept`: not `base_failed` and a score of at least
     `threshold`. NULL texts have no words and fail. Columns of `docs` with the same names
-    are replaced; repeated rows are judged each on its own.
+    are replaced; repeated rows are judged each on its own. `ratios` holds as many buckets
+    for each of `folds`, fold after fold.
     """
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     names = {name: free_name(docs, f"q_{name}") for name in counts}
     step = with_shape(with_hashes(docs, F.col(text), docs.columns), F.col(text), names)
-    table, buckets = ratio_table(ratios), len(ratios)
+    table, buckets = ratio_table(ratios), len(ratios) // folds
+    first = free_name(docs, "q_first")
+    step = step.withColumn(first, fold_of(F.col(text), folds) * buckets)
 
     def summed(hashes: str) -> Column:
-        look = lambda acc, h: acc + F.get(table, F.pmod(h, F.lit(buckets)).cast("int"))
+        at = lambda h: F.pmod(h, F.lit(buckets)).cast("int")
+        look = lambda acc, h: acc + F.get(table, F.col(first) + at(h) if folds > 1 else at(h))
         return F.aggregate(hashes, F.lit(0.0), look)
 
     size = F.size("_one") + F.size("_two")

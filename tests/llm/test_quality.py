@@ -2,6 +2,9 @@ import math
 import re
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from postlens.llm import quality
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -82,3 +85,26 @@ def test_trusted_documents_are_kept(spark, documents, sf_dir):
 def test_a_filter_on_the_result_keeps_the_plan_small(documents):
     kept = quality.judge_quality(documents, [0.0] * 8).where("kept AND n_words > 60")
     assert len(kept._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+def test_threshold_parts_the_scores():
+    assert quality.best_threshold([1.0, 2.0], [-1.0, 0.0]) == 0.5
+    assert quality.best_threshold([1.0, 2.0], []) == 1.0
+    assert quality.best_threshold([], [-1.0]) == 0.0
+    assert 0 < quality.best_threshold([0.0] * 99 + [5.0], [0.0, 0.0]) < 5
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_labelled_rows_left_out_of_the_fit(spark, sf_dir, size):
+    folder = f"{sf_dir}/../{size}"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    left_out = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    model = quality.fit_model(docs, labels.where(~left_out))
+    judged = quality.judge_quality(docs, model.ratios, threshold=model.threshold, folds=model.folds)
+    judged = judged.drop("text").cache().where("NOT base_failed").join(labels, "doc_id", "left")
+    share = lambda rows: rows.select(F.avg(F.col("kept").cast("int"))).first()[0]
+    assert share(judged.where("quality = 1 AND toxic = 0").where(left_out)) > 0.7
+    assert share(judged.where("quality = 0").where(left_out)) < 0.4
+    # Rows without a label are no worse than those whose label says they are good.
+    assert share(judged.where("quality IS NULL")) > 0.6

@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-TABLES = ("documents", "labels", "pages")
+TABLES = ("documents", "labels", "pages", "conversations")
 
 
 @pytest.fixture(scope="session")

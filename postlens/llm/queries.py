@@ -14,6 +14,7 @@ from postlens.llm import (
     jaccard,
     mixing,
     order_minhash,
+    prefix_trie,
     quality,
     sharding,
     suffix_dedup,
@@ -138,6 +139,11 @@ def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = document_rows(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie.prefix_trie(prefix_trie.with_borrowed_starts(turns), turns).drop("node")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_quality_rules": op2_quality_rules,
@@ -150,6 +156,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sharding": op10_sharding,
     "op11_chat_formatting": op11_chat_formatting,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 _PARSED = """
@@ -261,4 +268,46 @@ WITH t AS (
 SELECT conv_id, n_turns, sha256(all_turns) AS turns_sha256, length(learnt) AS loss_chars,
   sha256(learnt) AS loss_sha256, formatted_chars
 FROM joined""",
+    "op12_prefix_trie": r"""
+WITH placed AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p
+  FROM conversations
+), convs AS (
+  SELECT conv_id, xor(list_reduce(
+      list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+      lambda crc, byte: list_reduce(range(8), lambda a, i:
+        CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(crc, byte)),
+      4294967295), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+), rebuilt AS (
+  SELECT conv_id, p, role, text FROM convs JOIN placed USING (conv_id) WHERE p > h
+  UNION ALL
+  SELECT c.conv_id, p, role, text FROM convs c JOIN placed o ON o.conv_id = c.conv_id - c.conv_id % 20
+  WHERE p <= h
+), turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY p) AS d,
+    sha256(strlen(role) || ':' || role || text) AS x,
+    len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n_words
+  FROM rebuilt
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs
+), prefixes AS (
+  SELECT conv_id, d, n_words, sha256(string_agg(x, '') OVER (PARTITION BY conv_id ORDER BY d)) AS k,
+    max(d) OVER (PARTITION BY conv_id) AS last FROM turns
+), chained AS (SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY d) AS up FROM prefixes),
+nodes AS (
+  SELECT k, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n_words) AS n_words,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = last), '')) AS ends_sha256
+  FROM chained GROUP BY k, d
+), families AS (SELECT up, count(*) AS n_children FROM nodes GROUP BY up),
+full_nodes AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN families f ON n.k = f.up
+), subtrees AS (
+  SELECT a.k, a.d, sum((x.n_convs - 1) * x.n_words)::BIGINT AS saved_tokens,
+    count(*) FILTER (x.n_children = 0) AS n_leaves
+  FROM full_nodes x JOIN prefixes a ON a.conv_id = x.conv_id AND a.d <= x.d GROUP BY a.k, a.d
+)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves,
+  saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN subtrees s ON n.k = s.k LEFT JOIN nodes p ON n.up = p.k""",
 }

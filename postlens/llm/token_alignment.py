@@ -35,7 +35,7 @@ STEP = 1 << 20
 # Pairs a task holds before it adds equal ones up.
 HELD = 2_000_000
 
-_units: dict[str, object] = {}
+_units: dict[tuple, object] = {}
 
 
 def _written(rows: DataFrame, name: str) -> DataFrame:
@@ -52,14 +52,14 @@ class Vocabularies:
             self.files = spark.sparkContext.broadcast((a.read(), b.read()))
         self.name = uuid.uuid4().hex
 
-    def units(self):
-        """This worker's parts; kept from task to task."""
+    def units(self, printing: bool = False):
+        """This worker's parts; kept from task to task of one pass."""
         from postlens.llm.token_units import Tokenizers, Units
 
-        if self.name not in _units:
+        if (self.name, printing) not in _units:
             _units.clear()
-            _units[self.name] = Units(Tokenizers(*self.files.value))
-        return _units[self.name]
+            _units[self.name, printing] = Units(Tokenizers(*self.files.value), printing)
+        return _units[self.name, printing]
 
 
 def _steps(batch, at: int) -> Iterator[tuple[int, list[str]]]:
@@ -291,7 +291,7 @@ class Lookup:
 
         if self.generation is not units.generation:
             self.generation, self.known = units.generation, np.zeros((2, 0), np.int64)
-        new = np.arange(self.known.shape[1], len(units.groups))
+        new = np.arange(self.known.shape[1], len(units.number))
         if len(new):
             counts, best = self.sums(units.links_of(new))
             ends = np.cumsum(units.rows[4, new])
@@ -320,7 +320,7 @@ def _looked_up(docs: DataFrame, text: str, keep: list[str], vocabularies: Vocabu
         import numpy as np
         import pyarrow as pa
 
-        units = vocabularies.units()
+        units = vocabularies.units(printing=True)
         if name not in _lookups:
             _lookups.clear()
             _lookups[name] = Lookup(*sent.value)

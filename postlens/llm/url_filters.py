@@ -12,9 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.llm.common import free_name
-from postlens.sizing import SALTS, fits_broadcast, measure
+from postlens.sizing import fits_broadcast, measure
 
 PREFIX_HEX = 8  # four bytes
+
+# Parts of an expression's rows where the rules are too many for a broadcast.
+SALTS = 32
+
 AUTHORITY = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

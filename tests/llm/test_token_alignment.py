@@ -140,3 +140,25 @@ def test_perfect_hash():
 
 def test_places_to_cut():
     assert CUT.split("a b  c  d ▁ e\n f") == ["a", "b  c  d ▁ e\n f"]
+
+
+def test_the_faster_encoder_gives_the_same_ids(texts, tokenizers):
+    import json
+
+    from postlens.llm.token_units import LATIN_PART, Tokenizers
+
+    with open(PATHS[0], encoding="utf-8") as a, open(PATHS[1], "rb") as b:
+        spec, model = a.read(), b.read()
+    own = Tokenizers(spec, model)
+    rng = random.Random(2)
+    words = {" " + w for _, t in texts for w in (t or "").split(" ") if LATIN_PART.match(" " + w)}
+    letters = [chr(c) for c in (*range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x250))]
+    words |= {" x" + "".join(rng.choices(letters, k=rng.randint(0, 30))) + "y" for _ in range(20_000)}
+    assert all(LATIN_PART.match(w) for w in words)
+    for word in words:
+        assert own.fast.encode_ordinary(word) == own.a.encode(word, add_special_tokens=False).ids
+    # A vocabulary with a token that its merges do not reach has no such encoder.
+    other = json.loads(spec)
+    merges = other["model"]["merges"]
+    merges[-1] = merges[0] if isinstance(merges[0], str) else list(merges[0])
+    assert Tokenizers(json.dumps(other), model).fast is None

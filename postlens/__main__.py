@@ -12,11 +12,14 @@ from pyspark.sql import SparkSession
 from postlens.operators import console_form
 from postlens.plans import (
     account_report,
+    follow_lake,
     labels_report,
     lake_report,
     land_files,
     land_live,
+    running_report,
     score_lake,
+    tokenize_checked,
     tokenize_lake,
 )
 from postlens.plans.jobs import MAX_FILES
@@ -25,8 +28,15 @@ REPORTS = {
     "account-report": account_report,
     "lake-report": lake_report,
     "labels-report": labels_report,
+    "running-report": running_report,
+}
+STREAMS = {
+    "land-live": land_live,
+    "tokenize": tokenize_lake,
+    "tokenize-checked": tokenize_checked,
+    "score": score_lake,
+    "follow": follow_lake,
 }
-STREAMS = {"land-live": land_live, "tokenize": tokenize_lake, "score": score_lake}
 
 
 def arguments() -> argparse.Namespace:
@@ -39,6 +49,7 @@ def arguments() -> argparse.Namespace:
     report.add_argument("--edges", default="clean", choices=("clean", "as_reference"))
     report.add_argument("--multi-line", action="store_true", help="one page per file")
     report.add_argument("--rules", help="count only posts of accounts that stored rules name")
+    report.add_argument("--gaps", choices=("warn", "fail"), help="follow the chains of pages first")
 
     land = jobs.add_parser("land", help="text lines to landing files")
     land.add_argument("lines")
@@ -70,14 +81,28 @@ def arguments() -> argparse.Namespace:
     labels = jobs.add_parser("labels-report", help="the labels written so far to a share report")
     labels.add_argument("labels")
 
-    score = jobs.add_parser("score", help="a token table to labels, as a stream")
-    score.add_argument("tokens")
-    score.add_argument("lexicon")
-    score.add_argument("path")
-    score.add_argument("checkpoint")
-    score.add_argument("--edges", default="clean", choices=("clean", "as_reference"))
-    score.add_argument("--available-now", action="store_true")
-    score.add_argument("--max-files", type=int, default=MAX_FILES)
+    running = jobs.add_parser("running-report", help="the report that `follow` published last")
+    running.add_argument("report")
+
+    checked = jobs.add_parser("tokenize-checked", help="landed lines to tokens of ruled accounts, as a stream")
+    checked.add_argument("lines")
+    checked.add_argument("path")
+    checked.add_argument("checkpoint")
+    checked.add_argument("--rules", help="versions of account rules; each batch reads the latest")
+    checked.add_argument("--available-now", action="store_true")
+    checked.add_argument("--max-files", type=int, default=MAX_FILES)
+
+    for name, about in (("score", "a token table to labels"), ("follow", "a token table to a running report")):
+        score = jobs.add_parser(name, help=f"{about}, as a stream")
+        score.add_argument("tokens")
+        score.add_argument("lexicon")
+        score.add_argument("path")
+        score.add_argument("checkpoint")
+        score.add_argument("--edges", default="clean", choices=("clean", "as_reference"))
+        score.add_argument("--available-now", action="store_true")
+        score.add_argument("--max-files", type=int, default=MAX_FILES)
+    for stream in STREAMS:
+        jobs.choices[stream].add_argument("--max-bytes", type=int, help="in the place of --max-files")
     return parser.parse_args()
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sizing import Size, fits_broadcast
 from ..workspace import new_folder
 
 # monotonically_increasing_id: partition number above this bit, row number below it.
@@ -52,3 +53,53 @@ def number_lines(
     return ranged.join(F.broadcast(offsets), "_range").select(
         *lines.columns, (F.col("_before") + F.col("_row") + 1).alias("line_no"), "line_count"
     )
+
+
+def number_text(spark: SparkSession, path: str) -> DataFrame:
+    """`value, line_no, line_count` of the lines of text files, in order of file and line.
+
+    Nothing is sorted and no line is shuffled or written. A first scan counts the lines of
+    every input split; sums over the splits, in order of their files and offsets, say how
+    many lines come before each. The second scan adds a line's place in its split. A split
+    is known by its task, file, offset and length, and a scan whose splits are not those
+    that were counted is an error, so files must not change meanwhile.
+
+    What is broadcast is 48 bytes per split, if that fits; beyond that the lines are joined
+    with the sums by a shuffle. Lines are numbered from 1.
+    """
+    meta = F.col("_metadata")
+    split = F.xxhash64(meta["file_path"], meta["file_block_start"], meta["file_block_length"], F.lit(0))
+    again = F.xxhash64(meta["file_path"], meta["file_block_start"], meta["file_block_length"], F.lit(1))
+    place = F.monotonically_increasing_id()
+    lines = spark.read.text(path).select(
+        "value",
+        meta["file_path"].alias("_file"),
+        meta["file_block_start"].alias("_block"),
+        F.struct(split.alias("a"), again.alias("b")).alias("_split"),
+        F.shiftright(place, _ROW_BITS).alias("_task"),
+        place.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("_row"),
+    )
+    folder = new_folder(spark, "splits")
+    lines.groupBy("_task", "_file", "_block", "_split").agg(
+        F.count(F.lit(1)).alias("_lines"), F.min("_row").alias("_first")
+    ).write.parquet(folder)
+    splits = spark.read.parquet(folder)
+    everything = Window.partitionBy()
+    before = everything.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = splits.select(
+        F.col("_task").alias("_of_task"),
+        F.col("_split").alias("_of_split"),
+        "_lines",
+        "_first",
+        F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_before"),
+        F.sum("_lines").over(everything).alias("line_count"),
+    )
+    few = fits_broadcast(Size(splits.count(), 48 * splits.count()))
+    sums = F.broadcast(sums) if few else sums
+    on = (F.col("_task") == F.col("_of_task")) & (F.col("_split") == F.col("_of_split"))
+    inside = F.col("_row") - F.col("_first")
+    counted = (inside >= 0) & (inside < F.col("_lines"))
+    number = F.when(counted, F.col("_before") + inside + 1).otherwise(
+        F.raise_error(F.lit("the splits of the text are not those that were counted")).cast("bigint")
+    )
+    return lines.join(sums, on, "left").select("value", number.alias("line_no"), "line_count")

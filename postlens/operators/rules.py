@@ -36,7 +36,11 @@ def match_rules(
     if fits_broadcast(size):
         matched = posts.join(F.broadcast(named), account, how)
     else:
-        others = [F.col(c) for c in posts.columns if c != account]
-        spread_by = others or [F.monotonically_increasing_id()]
-        matched = salted_join(posts, named, account, how, spread_by)
+        # Rows are spread by their place in their split, which a task that runs again finds
+        # again, so columns of any type may stand beside the account.
+        row = "_row"
+        while row in posts.columns:
+            row = f"_{row}"
+        posts_by_row = posts.withColumn(row, F.monotonically_increasing_id())
+        matched = salted_join(posts_by_row, named, account, how, [F.col(row)])
     return matched.select(*posts.columns, *(["tag"] if tags else []))

@@ -20,8 +20,11 @@ Three plans give the same labels; `prepare_lexicon` picks by measured size:
     Tokens are exploded and joined with a broadcast lexicon; one shuffle on a
     number given to each row, after its tokens were added up where they were read.
 ``salted``
-    As before with a shuffle join in which every word is split into parts, so
-    that the most frequent words do not end in one task each.
+    As before with a shuffle join. Tokens that a Bloom filter of the lexicon turns away are
+    not shuffled, and words found to be hot are split into parts by their share.
+
+Under both join plans columns other than numbers are not carried along with the tokens: the
+posts are written once with the numbers of their rows, and what was added up is joined back.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokenize, without_empty
+from ..lookup import Bloom, bloom
 from ..sizing import fits_broadcast, measure, salted_join
 from ..workspace import new_folder
 
@@ -50,6 +54,7 @@ class Lookup(NamedTuple):
     strategy: str
     table: DataFrame
     words: dict[str, list[str]]
+    known: Bloom | None = None
 
 
 def prepare_lexicon(
@@ -85,7 +90,7 @@ def prepare_lexicon(
         return Lookup("broadcast", table, {})
     if strategy in ("row", "broadcast"):
         raise ValueError(f"a lexicon of {size} is too large for the {strategy} strategy")
-    return Lookup("salted", table, {})
+    return Lookup("salted", table, {}, bloom(table, "word", size.rows))
 
 
 def _few_words(table: DataFrame, most: int) -> dict[str, list[str]] | None:
@@ -195,22 +200,43 @@ def _constants(words: Sequence[str]) -> str:
     )
 
 
+# Types that may be part of a group key of numbers.
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp")
+
+
 def _score_by_join(cut: DataFrame, lookup: Lookup, keys: list[str], edges: str) -> DataFrame:
     """The same by a join of single tokens with the lexicon.
 
-    A number given to each row before its tokens part tells posts with equal keys apart. It
-    comes from the place of the row in its split, so a task that is run again gives it anew.
+    A number given to each row before its tokens part tells posts with equal keys apart.
+    Numbers among the other columns go along with it. If there are others, or more than one
+    pass over the posts is needed, the posts are first written with their numbers, and only
+    those of posts with hits come back to be joined with what is kept.
     """
-    words = cut.withColumn("_row", F.monotonically_increasing_id()).select(
-        "_row",
-        *keys,
-        F.array_size("_tokens").alias("_n"),
-        F.explode_outer(F.expr(_SCORED[edges])).alias("word"),
-    )
-    if lookup.strategy == "broadcast":
+    posts = cut.withColumn("_row", F.monotonically_increasing_id())
+    narrow = all(kind in _NUMBERS for name, kind in cut.dtypes if name in keys)
+    if lookup.strategy == "broadcast" and narrow:
+        words = posts.select(
+            "_row", *keys, F.array_size("_tokens").alias("_n"), F.explode_outer(F.expr(_SCORED[edges])).alias("word")
+        )
         found = words.join(F.broadcast(lookup.table), "word", "left")
+        return _added_up(found, ["_row", *keys, "_n"])
+    folder = new_folder(posts.sparkSession, "posts")
+    posts.withColumn("_n", F.array_size("_tokens")).write.parquet(folder)
+    posts = posts.sparkSession.read.parquet(folder)
+    words = posts.select("_row", "_n", F.explode(F.expr(_SCORED[edges])).alias("word"))
+    if lookup.strategy == "broadcast":
+        found = words.join(F.broadcast(lookup.table), "word")
     else:
-        found = salted_join(words, lookup.table, "word", "left", [F.col("_row")])
+        if lookup.known is not None:
+            words = words.where(lookup.known.passes(F.col("word")))
+        found = salted_join(words, lookup.table, "word", "inner", [F.col("_row")])
+    scores = _added_up(found, ["_row", "_n"]).drop("_n")
+    kept = posts.select("_row", *keys, "_n").join(scores, "_row", "left")
+    return kept.select(*keys, "_n", F.coalesce("score", F.lit(0)).cast("bigint").alias("score"), "_polarity")
+
+
+def _added_up(found: DataFrame, group: list[str]) -> DataFrame:
+    """`score` and `_polarity` of every post, from its tokens and their polarities."""
     points = (
         F.when(F.col("polarity") == "positive", 1)
         .when(F.col("polarity") == "negative", -1)
@@ -219,4 +245,4 @@ def _score_by_join(cut: DataFrame, lookup: Lookup, keys: list[str], edges: str)
     # Of a post of one token there is one row, so its polarity can be part of the
     # group, which leaves a sum of numbers as the only thing to aggregate.
     own = F.when(F.col("_n") == 1, F.col("polarity")).alias("_polarity")
-    return found.groupBy("_row", *keys, "_n", own).agg(F.sum(points).alias("score"))
+    return found.groupBy(*group, own).agg(F.sum(points).alias("score"))

@@ -2,20 +2,28 @@
 
 from .jobs import (
     account_report,
+    follow_lake,
     labels_report,
     lake_report,
     land_files,
     land_live,
+    page_gaps,
+    running_report,
     score_lake,
+    tokenize_checked,
     tokenize_lake,
 )
 
 __all__ = [
     "account_report",
+    "follow_lake",
     "labels_report",
     "lake_report",
     "land_files",
     "land_live",
+    "page_gaps",
+    "running_report",
     "score_lake",
+    "tokenize_checked",
     "tokenize_lake",
 ]

@@ -29,10 +29,13 @@ from ..operators import (
     land_lines,
     match_rules,
     number_lines,
+    page_chains,
+    page_links,
     prepare_lexicon,
     roll_files,
 )
 from ..sample_lexicon import sample_raw
+from ..schemas import CHAINED_PAGE
 from ..sizing import spread
 from ..sources import (
     first_polarity,
@@ -57,15 +60,28 @@ from ..sources import (
     union_posts,
     word_polarity,
 )
-from ..streaming import read_labels, run_available
+from ..streaming import add_rules, read_batch_counts, read_checked_tokens, read_labels, run_available
 from ..workspace import new_folder
-from .jobs import account_report, labels_report, lake_report, land_live, score_lake, tokenize_lake
+from .jobs import (
+    account_report,
+    follow_lake,
+    labels_report,
+    lake_report,
+    land_files,
+    land_live,
+    page_gaps,
+    running_report,
+    score_lake,
+    tokenize_checked,
+    tokenize_lake,
+)
 
 STREAM_TIMEOUT = 6 * 60 * 60
 ROW_GROUP_BYTES = 1024 * 1024
 
 # The rules, the looked-up words and the landing size of the queries.
 RULES = {"from:src2": "src2 account", "from:src7": "src7 account"}
+LATER_RULES = {"from:src7": "src7 again", "from:src3": "src3 account"}
 LOOKUP_TOKEN = "the"
 LOOKUP_WORD = "red-7"
 LINES_PER_FILE = 10
@@ -319,6 +335,34 @@ def account_rules_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return account_report(spark, pages, _sample_lexicon_file(spark), rules=rules)
 
 
+def _chained_pages(spark: SparkSession, sf_dir: str) -> str:
+    """A page per document, chained within its source, of which every tenth was lost."""
+    documents = _table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    order = Window.partitionBy("source").orderBy("doc_id")
+    token = F.when(F.lag("doc_id").over(order).isNotNull(), F.col("doc_id").cast("string"))
+    following = F.lead("doc_id").over(order).cast("string")
+    post = F.struct(F.col("doc_id").cast("string").alias("id"), "text", F.col("source").alias("account"))
+    pages = documents.select(
+        "doc_id",
+        F.array(post).alias("data"),
+        F.struct(following.alias("next_token")).alias("meta"),
+        F.col("source").alias("account"),
+        token.alias("token"),
+    )
+    path = new_folder(spark, "chained-pages")
+    pages.where("doc_id % 10 != 3").drop("doc_id").write.json(path)
+    return path
+
+
+def chained_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_pages(spark, _chained_pages(spark, sf_dir), CHAINED_PAGE)
+    return page_chains(page_links(pages))
+
+
+def missing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_gaps(spark, _chained_pages(spark, sf_dir))
+
+
 def _last_document(spark: SparkSession, sf_dir: str) -> Column:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.max("doc_id")).scalar()
 
@@ -461,6 +505,57 @@ def stream_labels_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels_report(spark, _streamed_labels(spark, sf_dir))
 
 
+def _land_half(spark: SparkSession, sf_dir: str, path: str, half: int) -> None:
+    """Every second document, after those that landed before; each tenth line is cut short."""
+    posts = _table(spark, sf_dir, "documents", "doc_id", "text", "source").where(F.col("doc_id") % 2 == half)
+    post = F.struct(F.col("doc_id").cast("string").alias("id"), "text", F.col("source").alias("account"))
+    line = F.to_json(F.struct(post.alias("data")))
+    cut = F.when(F.col("doc_id") % 10 == 3, F.substr(line, F.lit(1), (F.length(line) / 2).cast("int")))
+    posts.select(F.coalesce(cut, line).alias("value")).write.mode("append").text(path)
+
+
+def _checked_tokens(spark: SparkSession, sf_dir: str) -> str:
+    """Two landings, between which the rules change; the stream is started again for each."""
+    path, checkpoint = new_folder(spark, "checked"), new_folder(spark, "checked-checkpoint")
+    landed, rules = new_folder(spark, "landed"), new_folder(spark, "rules")
+    for half, in_force in enumerate((RULES, LATER_RULES)):
+        _land_half(spark, sf_dir, landed, half)
+        add_rules(rules_table(spark, in_force), rules)
+        stream = tokenize_checked(spark, landed, path, checkpoint, rules, available_now=True)
+        run_available(stream, STREAM_TIMEOUT)
+    return path
+
+
+def stream_ruled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = read_checked_tokens(spark, _checked_tokens(spark, sf_dir))
+    return tokens.select("id", F.size("text").alias("n_tokens"), "account", "tag")
+
+
+def stream_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = read_batch_counts(spark, _checked_tokens(spark, sf_dir))
+    return counts.groupBy("rules_version").agg(
+        F.sum("n_lines").alias("n_lines"), F.sum("n_rejected").alias("n_rejected")
+    )
+
+
+def stream_running_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of one half are followed in several batches, then, after a restart, the others."""
+    landed, tokens, report = (new_folder(spark, name) for name in ("landed", "tokens", "report"))
+    checkpoints = [new_folder(spark, f"{name}-checkpoint") for name in ("tokens", "report")]
+    lexicon = _sample_lexicon_file(spark)
+    for half in (0, 1):
+        posts = _documents(spark, sf_dir).where(F.col("doc_id") % 2 == half)
+        posts.select(_stream_line()).write.mode("append").json(landed)
+        stream = tokenize_lake(spark, landed, tokens, checkpoints[0], available_now=True)
+        run_available(stream, STREAM_TIMEOUT)
+        files = _third(spark, tokens)
+        run_available(
+            follow_lake(spark, tokens, lexicon, report, checkpoints[1], available_now=True, max_files=files),
+            STREAM_TIMEOUT,
+        )
+    return running_report(spark, report)
+
+
 def sink_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     lake = read_tokens(spark, _token_lake(spark, sf_dir, ROW_GROUP_BYTES))
     return lake.select("id", F.size("text").alias("n_tokens"))
@@ -489,6 +584,18 @@ def landed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def landed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON lines in files that follow each other, landed by their place in them."""
+    lines, path = new_folder(spark, "lines"), new_folder(spark, "files")
+    ordered = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered.select(F.to_json(F.struct(_stream_line())).alias("value")).write.text(lines)
+    land_files(spark, lines, path, LINES_PER_FILE)
+    return spark.read.json(path, schema="data struct<id:string,text:string>, file_no bigint").select(
+        "file_no", "data.*"
+    )
+
+
 def landed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _documents(spark, sf_dir).select(F.to_json(F.struct(_stream_line())).alias("value"))
     path = new_folder(spark, "chunks")
@@ -553,6 +660,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_has_next": page_has_next,
     "account_report": batch_job,
     "account_rules_report": account_rules_report,
+    "page_chains": chained_pages,
+    "page_gaps": missing_pages,
     "corrupt_pages": corrupt_pages,
     "rule_ids": rules_in_force,
     "match_rules": matched_rules,
@@ -561,9 +670,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_report": stream_report,
     "stream_labels": stream_labels,
     "stream_labels_report": stream_labels_report,
+    "stream_running_report": stream_running_report,
+    "stream_ruled_tokens": stream_ruled_tokens,
+    "stream_rejected": stream_rejected,
     "stream_landing": stream_landing,
     "sink_row_groups": sink_row_groups,
     "roll_files": rolled_files,
     "land_lines": landed_lines,
+    "land_files": landed_files,
     "land_chunks": landed_chunks,
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sample_lexicon import sample_lines
-from .catalog import HOSTILE_WORDS, LINES_PER_FILE, LOOKUP_TOKEN, LOOKUP_WORD, RULES
+from .catalog import HOSTILE_WORDS, LATER_RULES, LINES_PER_FILE, LOOKUP_TOKEN, LOOKUP_WORD, RULES
 
 _SAMPLE_RAW = "raw(ord, value) AS (VALUES " + ", ".join(
     f"({number}, '{line}')" for number, line in enumerate(sample_lines(), 1)
@@ -111,6 +111,11 @@ _LANDED = "SELECT CAST(doc_id AS VARCHAR) AS id, text, true AS within_size FROM
 
 _FLAT_TOKENS = "'[' || array_to_string(" + _NW.format("text") + ", ', ') || ']'"
 
+_STREAM_RULES = ", ".join(
+    f"({half}, '{value}', '{tag}')"
+    for half, rules in enumerate((RULES, LATER_RULES))
+    for value, tag in rules.items()
+)
 _RULE_VALUES = ", ".join(f"('{value}', '{tag}')" for value, tag in RULES.items())
 
 _KEYS = _labels(
@@ -135,6 +140,18 @@ _ALL_WORDS = f"""lexicon AS (
     SELECT word, (['neutral', 'positive', 'negative'])[length(word) % 3 + 1] AS polarity
     FROM (SELECT DISTINCT unnest({_WS.format("text")}) AS word FROM documents) WHERE word <> '')"""
 
+# Pages of a source in order of document; every tenth was lost, which cuts the chain.
+_CHAINS = """placed AS (
+    SELECT doc_id, source, lag(doc_id) OVER w AS before, lead(doc_id) OVER w AS after,
+        count(*) FILTER (doc_id % 10 = 3) OVER w AS lost
+    FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)
+), chains AS (
+    SELECT source AS account, count(*) AS n_pages, max_by(after, doc_id)::VARCHAR AS missing,
+        CASE WHEN bool_and(before IS NOT NULL) THEN min(doc_id)::VARCHAR END AS first_token
+    FROM placed WHERE doc_id % 10 <> 3 GROUP BY source, lost
+)"""
+
+
 ORACLE: dict[str, str] = {
     "sentiment_report_ws": _DOCUMENTS_WS + _REPORT + "label",
     "sentiment_report_nw": _DOCUMENTS_NW + _REPORT + "pct DESC, label",
@@ -167,6 +184,13 @@ ORACLE: dict[str, str] = {
 FROM labels JOIN documents USING (doc_id)
 WHERE 'from:' || source IN (SELECT value FROM (VALUES {_RULE_VALUES}) rules(value, tag))
 GROUP BY label ORDER BY label""",
+    "page_chains": f"WITH {_CHAINS} SELECT account, first_token, n_pages, missing, false AS ring FROM chains",
+    "page_gaps": f"""WITH {_CHAINS}
+SELECT account, sum(n_pages)::BIGINT AS n_pages, count(*) AS n_chains,
+    count(missing) + CASE WHEN bool_or(first_token IS NULL) THEN 0 ELSE 1 END AS n_gaps,
+    min(missing) AS first_gap,
+    count(*) = 1 AND count(missing) = 0 AND bool_or(first_token IS NULL) AS complete
+FROM chains GROUP BY account""",
     "corrupt_pages": """SELECT count(*) AS n_pages, count(*) FILTER (cut) AS n_corrupt,
     coalesce(sum(lines) FILTER (NOT cut), 0)::BIGINT AS n_posts,
     count(*) FILTER (NOT cut AND last) AS n_last
@@ -205,13 +229,25 @@ WHERE 'from:' || source IN (SELECT value FROM (VALUES {_RULE_VALUES}) rules(valu
     "stream_report": _LAKE + _REPORT + "pct DESC, label",
     "stream_labels": _LAKE + "SELECT CAST(doc_id AS VARCHAR) AS id, score, label FROM labels",
     "stream_labels_report": _LAKE + _REPORT + "pct DESC, label",
+    "stream_running_report": _LAKE + _REPORT + "pct DESC, label",
+    "stream_ruled_tokens": f"""SELECT CAST(doc_id AS VARCHAR) AS id, len({_NW.format("text")}) AS n_tokens,
+    source AS account, tag
+FROM documents JOIN (VALUES {_STREAM_RULES}) rules(half, value, tag)
+    ON 'from:' || source = value AND doc_id % 2 = half
+WHERE doc_id % 10 <> 3""",
+    "stream_rejected": """SELECT doc_id % 2 + 1 AS rules_version, count(*) AS n_lines,
+    count(*) FILTER (doc_id % 10 = 3) AS n_rejected
+FROM documents GROUP BY doc_id % 2""",
     "stream_landing": _LANDED,
     "sink_row_groups": f"""SELECT CAST(doc_id AS VARCHAR) AS id, len({_NW.format("text")}) AS n_tokens
 FROM documents""",
     "roll_files": f"""WITH {_ROLLED}
 SELECT file_no, file_no <= finished AS published, count(*) AS n_lines FROM rolled GROUP BY ALL""",
-    "land_lines": f"""WITH {_ROLLED}
+    **dict.fromkeys(
+        ("land_lines", "land_files"),
+        f"""WITH {_ROLLED}
 SELECT file_no, CAST(doc_id AS VARCHAR) AS id, text FROM rolled JOIN documents USING (doc_id)
 WHERE file_no <= finished""",
+    ),
     "land_chunks": _LANDED,
 }

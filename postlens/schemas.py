@@ -4,7 +4,7 @@ Every scan gets one of these, so no job is spent on inference and a field that
 is absent from the input is a NULL instead of an analysis error.
 """
 
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 # The field names below are those of the payloads and files that are read.
 
@@ -22,9 +22,18 @@ PAGE = StructType(
 ACCOUNT_POST = StructType([*POST.fields, StructField("account", StringType())])
 ACCOUNT_PAGE = StructType([StructField("data", ArrayType(ACCOUNT_POST)), PAGE["meta"]])
 
+# A page as stored with what it was asked for with: the account, and the token that the page
+# before it named, which the first page lacks.
+CHAINED_PAGE = StructType(
+    [*ACCOUNT_PAGE.fields, StructField("account", StringType()), StructField("token", StringType())]
+)
+
 # One line of the post stream.
 STREAM_LINE = StructType([StructField("data", POST)])
 
+# The same with the account of the post.
+ACCOUNT_LINE = StructType([StructField("data", ACCOUNT_POST)])
+
 # The answer of the rules service: the ids of the rules in force.
 RULES_RESPONSE = StructType(
     [
@@ -46,3 +55,14 @@ LEXICON_FIELDS = StructType(
 TOKEN_ROWS = StructType(
     [StructField("id", StringType()), StructField("text", ArrayType(StringType()))]
 )
+
+# What the streams publish batch by batch.
+LABELS = StructType(
+    [StructField("id", StringType()), StructField("score", LongType()), StructField("label", StringType())]
+)
+COUNTS = StructType([StructField("label", StringType()), StructField("n", LongType())])
+RULED_TOKENS = StructType([*TOKEN_ROWS.fields, StructField("account", StringType()), StructField("tag", StringType())])
+REJECTED = StructType([StructField("value", StringType())])
+BATCH_COUNTS = StructType(
+    [StructField(name, LongType()) for name in ("n_lines", "n_rejected", "rules_version")]
+)

@@ -17,8 +17,10 @@ SPREAD_SPLITS = 64
 # Parts made of one split when it is spread, 4 MiB each at the default split size.
 PARTS_PER_SPLIT = 32
 
-# Ways a hot key is split when neither side can be broadcast.
-SALTS = 32
+# Keys that are split at most when neither side can be broadcast, and what the sketch that
+# finds them keeps track of.
+HOT_KEYS = 1_000
+TRACKED = 20_000
 
 
 class Size(NamedTuple):
@@ -40,23 +42,51 @@ def fits_broadcast(size: Size) -> bool:
     return size.rows <= BROADCAST_ROWS and size.bytes <= BROADCAST_BYTES
 
 
+def hot_keys(facts: DataFrame, on: str) -> dict[str, int]:
+    """Keys that alone have more rows than a shuffle partition should, and parts to split each into.
+
+    Measured by a frequent-items sketch, which every task makes for itself before they are
+    merged; no rows are shuffled. The share above which a key is hot is that of one of the
+    session's shuffle partitions, but at least one in `HOT_KEYS`, so there are no more of
+    them. The sketch counts too high by at most the rows over `TRACKED`, a fraction of that
+    share. Which keys are found changes the plan only, not what is joined.
+    """
+    partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(1, min(partitions, HOT_KEYS))
+    row = facts.select(F.col(on).alias("key")).agg(
+        F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(key, {partitions}, {TRACKED})").alias("top")
+    ).first()
+    share = row["n"] / partitions
+    found = {x["item"]: -(-x["count"] // max(1, int(share))) for x in row["top"] or () if x["item"] is not None}
+    return {key: parts for key, parts in found.items() if parts > 1}
+
+
 def salted_join(
     facts: DataFrame,
     dim: DataFrame,
     on: str,
     how: str,
     spread_by: list[Column],
-    salts: int = SALTS,
+    hot: dict[str, int] | None = None,
 ) -> DataFrame:
-    """Shuffle join that splits every key of `facts` into `salts` parts.
+    """Shuffle join that splits the hot keys of `facts`, each into parts by its share.
 
-    The salt is a hash of row values, not a random number, so a task that is run
-    again sends its rows to the same places. `dim` is repeated once per salt. It is
-    known not to fit a broadcast, so the sort-merge join, which can spill, is asked for.
+    `hot` is what `hot_keys` finds, which is asked if it is not given. Only their rows of
+    `dim` are repeated, once per part. The salt is a hash of row values, not a random
+    number, so a task that is run again sends its rows to the same places. `dim` is known
+    not to fit a broadcast, so the sort-merge join, which can spill, is asked for.
     """
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated.hint("merge"), [on, "_salt"], how).drop("_salt")
+    hot = hot_keys(facts, on) if hot is None else hot
+    if not hot:
+        return facts.join(dim.hint("merge"), on, how)
+    kind = facts.schema[on].dataType.simpleString()
+    parts = facts.sparkSession.createDataFrame(list(hot.items()), f"`{on}` {kind}, _parts int")
+    parts = F.broadcast(parts)
+    spread_to = F.pmod(F.xxhash64(*spread_by), F.coalesce("_parts", F.lit(1))).cast("int")
+    salted = facts.join(parts, on, "left").withColumn("_salt", spread_to).drop("_parts")
+    last = F.coalesce("_parts", F.lit(1)) - 1
+    repeated = dim.join(parts, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
+    return salted.join(repeated.drop("_parts").hint("merge"), [on, "_salt"], how).drop("_salt")
 
 
 def spread(scan: DataFrame) -> DataFrame:

@@ -9,12 +9,13 @@ from .lexicon import (
     read_positional_fields,
     word_polarity,
 )
-from .lines import infer_schema, read_lines, sample_file, stream_lines, token_rows
+from .lines import bounded, infer_schema, read_lines, sample_file, stream_lines, token_rows
 from .pages import has_next, page_counts, page_posts, parse_pages, read_pages, union_posts
 from .rules import parse_rule_responses, read_rules, rule_ids, rules_table, store_rules
 from .tables import read_tokens
 
 __all__ = [
+    "bounded",
     "first_polarity",
     "has_next",
     "infer_schema",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 from pyspark.sql.types import StructType
 
 from ..functions import tokens_nw
@@ -29,12 +30,23 @@ def stream_lines(
     path: str,
     schema: StructType = STREAM_LINE,
     max_files: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    """The same folder as a stream. `max_files` bounds a micro-batch."""
-    reader = spark.readStream.schema(schema)
-    if max_files is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.json(path)
+    """The same folder as a stream, in micro-batches of bounded size (see `bounded`)."""
+    return bounded(spark.readStream.schema(schema), max_files, max_bytes).json(path)
+
+
+def bounded(
+    reader: DataStreamReader, max_files: int | None = None, max_bytes: int | None = None
+) -> DataStreamReader:
+    """A reader of files whose micro-batches take at most so many files, or so many bytes.
+
+    Bytes take the place of files if both are given. A file is never split between batches,
+    so a single larger one makes a batch of its own.
+    """
+    if max_bytes is not None:
+        return reader.option("maxBytesPerTrigger", max_bytes)
+    return reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)
 
 
 def token_rows(lines: DataFrame, keep_corrupt: bool = False) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.sentiment import Lookup, label_tokens, prepare_lexicon
-
-# What a label folder says of itself; readers pass over names that begin so.
-OWNER = "_owner"
+from ..schemas import LABELS
+from .batches import published, read_batches, write_batch
+from .owner import claim
 
 
 def start_labels(
@@ -24,25 +24,23 @@ def start_labels(
 
     No state is kept between batches: the tokens of a post are all in its row. The lexicon
     is read once, when the stream starts. Under the row plan labels are a projection and go
-    through the Parquet sink with its commit log, so readers see whole batches only. Under
-    a join plan each batch is written to its own ``batch_id=<n>``, which it replaces when
-    it runs again.
+    through the Parquet sink with its commit log. Under a join plan each batch is published
+    in two phases (see `batches`). Either way readers see whole batches only.
 
     A folder belongs to one stream. Batches are told apart by numbers that a checkpoint
     counts, so another checkpoint, a new one in the place of the old, or the other kind of
-    plan would replace or leave out labels; each of them is an error.
+    plan would leave out labels or give them twice; each of them is an error.
     """
     spark = tokens.sparkSession
     lookup = prepare_lexicon(lexicon)
-    _claim(spark, path, checkpoint, "row" if lookup.strategy == "row" else "join")
+    claim(spark, path, checkpoint, "row" if lookup.strategy == "row" else "join", lambda: _has_labels(spark, path))
     if lookup.strategy == "row":
         writer = label_tokens(tokens, lookup, edges=edges).writeStream.format("parquet")
         writer = writer.outputMode("append").option("path", path)
     else:
 
         def write(batch: DataFrame, batch_id: int) -> None:
-            labels = label_tokens(batch, lookup, edges=edges)
-            labels.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            write_batch(label_tokens(batch, lookup, edges=edges), path, batch_id)
 
         writer = tokens.writeStream.foreachBatch(write)
     writer = writer.option("checkpointLocation", checkpoint)
@@ -51,35 +49,15 @@ def start_labels(
     return writer.start()
 
 
-def _claim(spark: SparkSession, path: str, checkpoint: str, plan: str) -> None:
-    """Make the folder this stream's, or see that it is."""
-    mine = [checkpoint.rstrip("/"), plan]
-    owner = _lines(spark, f"{path}/{OWNER}")
-    if owner is None:
-        if _lines(spark, f"{checkpoint}/metadata") is not None:
-            raise ValueError(f"the checkpoint {checkpoint} belongs to another folder than {path}")
-        line = spark.range(1).selectExpr(*(f"'{x.encode().hex()}' AS c{i}" for i, x in enumerate(mine)))
-        line.selectExpr("concat_ws(' ', *) AS value").coalesce(1).write.text(f"{path}/{OWNER}")
-    elif [bytes.fromhex(x).decode() for x in owner[0].split(" ")] != mine:
-        raise ValueError(f"{path} holds the labels of another stream")
-    elif _lines(spark, f"{checkpoint}/metadata") is None and _has_labels(spark, path):
-        raise ValueError(f"{path} holds labels of a checkpoint that is gone from {checkpoint}")
-
-
-def _lines(spark: SparkSession, path: str) -> list[str] | None:
-    """The first line of a small file or folder, None if there is none."""
-    try:
-        return [row.value for row in spark.read.text(path).limit(1).collect()] or None
-    except AnalysisException:
-        return None
-
-
 def _has_labels(spark: SparkSession, path: str) -> bool:
     try:
-        return not spark.read.parquet(path).isEmpty()
+        return not read_labels(spark, path).isEmpty()
     except AnalysisException:
         return False
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """`id`, `score` and `label` of all batches that are published or committed by now."""
+    if published(spark, path) is None:
+        return spark.read.parquet(path)
+    return read_batches(spark, path, LABELS).drop("batch_id")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..schemas import TOKEN_ROWS
+from ..sources.lines import bounded
 
 
 def start_tokens(
@@ -55,9 +56,8 @@ def _session_setting(spark: SparkSession, name: str, value: int) -> Iterator[Non
             spark.conf.set(name, before)
 
 
-def stream_tokens(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+def stream_tokens(
+    spark: SparkSession, path: str, max_files: int | None = None, max_bytes: int | None = None
+) -> DataFrame:
     """A token table as a stream of its own."""
-    reader = spark.readStream.schema(TOKEN_ROWS)
-    if max_files is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    return bounded(spark.readStream.schema(TOKEN_ROWS), max_files, max_bytes).parquet(path)

@@ -1,0 +1,110 @@
+"""Chains of pages, against a walk along them in plain Python."""
+
+import json
+import random
+
+import pytest
+
+from postlens.operators import chain_gaps, page_chains
+from postlens.plans import account_report
+
+LINKS = "account string, token string, next_token string"
+
+
+def walked(links):
+    after = {(account, token): following for account, token, following in links}
+    named = {(account, following) for account, _, following in links if following and (account, following) in after}
+    rows, on_rings = set(), set()
+
+    def ring_from(page):
+        """The pages of the ring that a walk from here runs into, if it does."""
+        seen = []
+        while page in after and after[page] is not None and page not in seen:
+            seen.append(page)
+            page = (page[0], after[page])
+        return seen[seen.index(page) :] if page in seen else []
+
+    for page in after:
+        ring = ring_from(page)
+        if page in ring:
+            on_rings.add((page[0], min(t for _, t in ring), len(ring), None, True))
+        if page in named:
+            continue
+        if ring:
+            rows.add((page[0], page[1], None, None, True))
+            continue
+        account, first = page
+        pages = 0
+        while page in after:
+            pages += 1
+            page = (account, after[page])
+            if page[1] is None:
+                break
+        rows.add((account, first, pages, page[1], False))
+    return rows | on_rings
+
+
+def chain(account, numbers, lost=(), end=None):
+    tokens = [None if n == 0 else f"t{n}" for n in numbers]
+    return [(account, t, f) for n, t, f in zip(numbers, tokens, [*tokens[1:], end], strict=True) if n not in lost]
+
+
+def test_chains(spark):
+    rng = random.Random(4)
+    links = chain("whole", range(100)) + chain("one", [0]) + chain(None, range(5))
+    links += chain("middle", range(10), [4]) + chain("ends", range(8), [0, 7]) + chain("last", range(3), end="t9")
+    links += [("ring", "a", "b"), ("ring", "b", "c"), ("ring", "c", "a"), ("ring", "x", "c"), ("ring", None, "x")]
+    links += [("self", "s", "s"), ("two", "p", "q"), ("two", "q", "p"), ("two", None, None)]
+    links += [("merge", None, "m"), ("merge", "n", "m"), ("merge", "m", None)]
+    for i in range(20):
+        size = rng.randint(1, 40)
+        links += chain(f"r{i}", range(size), {n for n in range(size) if rng.random() < 0.15})
+    rng.shuffle(links)
+    found = [tuple(r) for r in page_chains(spark.createDataFrame(links, LINKS)).collect()]
+    assert len(found) == len(set(found))
+    assert set(found) == walked(links)
+
+
+def test_gaps(spark):
+    links = chain("whole", range(9)) + chain("middle", range(10), [4]) + chain("ends", range(8), [0, 7])
+    links += [("ring", None, "a"), ("ring", "a", "b"), ("ring", "b", "a")]
+    found = chain_gaps(page_chains(spark.createDataFrame(links, LINKS))).collect()
+    assert {tuple(r) for r in found} == {
+        ("whole", 9, 1, 0, None, True),
+        ("middle", 9, 2, 1, "t4", False),
+        ("ends", 6, 1, 2, "t7", False),
+        ("ring", 2, 2, 0, None, False),
+    }
+    assert page_chains(spark.createDataFrame([], LINKS)).count() == 0
+
+
+def stored(tmp_path, links):
+    pages = tmp_path / "pages.json"
+    rows = [
+        {"account": a, "token": t, "meta": {"next_token": f}, "data": [{"id": f"{a}-{t}", "text": "good good"}]}
+        for a, t, f in links
+    ]
+    pages.write_text("\n".join(map(json.dumps, rows)))
+    lexicon = tmp_path / "lexicon.txt"
+    lexicon.write_text("type=weaksubj len=1 word1=good pos1=adj stemmed1=n priorpolarity=positive\n")
+    return str(pages), str(lexicon)
+
+
+def test_report_of_whole_chains(spark, tmp_path, recwarn):
+    links = chain("a", range(4)) + chain("b", range(2))
+    report = account_report(spark, *stored(tmp_path, links), gaps="fail")
+    assert [tuple(r) for r in report.collect()] == [("positive", 6, 100.0)]
+    account_report(spark, *stored(tmp_path, links + links[:1]), gaps="warn")
+    assert not [w for w in recwarn if "missing" in str(w.message)]
+
+
+def test_report_of_cut_chains(spark, tmp_path):
+    files = stored(tmp_path, chain("a", range(4), [3]) + chain("b", range(2)))
+    with pytest.raises(ValueError, match=r"missing for 1 accounts, among them a \(after 3 pages: t3\)"):
+        account_report(spark, *files, gaps="fail")
+    with pytest.warns(UserWarning, match="missing for 1 accounts"):
+        report = account_report(spark, *files, gaps="warn")
+    assert [tuple(r) for r in report.collect()] == [("positive", 5, 100.0)]
+    assert account_report(spark, *files).count() == 1
+    with pytest.raises(ValueError, match="gaps must be"):
+        account_report(spark, *files, gaps="ask")

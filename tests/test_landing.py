@@ -5,10 +5,11 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from postlens.operators import file_summary, land_chunks, land_lines, number_lines, roll_files
+from postlens.operators import file_summary, land_chunks, land_lines, number_lines, number_text, roll_files
 from postlens.plans import land_files, land_live, tokenize_lake
 from postlens.sources import read_tokens
 from postlens.streaming import run_available
+from postlens.workspace import shared_root
 
 
 def files(path):
@@ -80,6 +81,44 @@ def test_land_files_numbers_in_file_order(spark, tmp_path):
     assert [line for k in range(1, 11) for line in landed[k]] == lines[:999]
 
 
+def test_splits_that_changed_are_an_error(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in "ab":
+        (tmp_path / "in" / name).write_text("".join(f"{name}{i}\n" for i in range(3_000)))
+    numbered = number_text(spark, str(tmp_path / "in"))
+    assert [r.value for r in numbered.orderBy("line_no").collect()] == [f"{n}{i}" for n in "ab" for i in range(3_000)]
+    assert {r.line_count for r in numbered.select("line_count").distinct().collect()} == {6_000}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        with pytest.raises(Exception, match="splits of the text are not those"):
+            numbered.select("line_no").where("line_no > 0").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_landing_shuffles_the_text_once(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr("postlens.operators.numbering.fits_broadcast", lambda size: few)
+    (tmp_path / "in").mkdir()
+    for name in "abc":
+        (tmp_path / "in" / name).write_text("".join(f"{name} line {i}\n" for i in range(100)))
+    numbered = number_text(spark, str(tmp_path / "in"))
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == (0 if few else 2) and "rangepartitioning" not in plan
+    shared = pathlib.Path(shared_root(spark)) / "postlens"
+    counted = max(shared.glob("splits-*"), key=lambda p: p.stat().st_mtime)
+    assert "value" not in spark.read.parquet(str(counted)).columns
+    assert [r.value for r in numbered.orderBy("line_no").collect()] == [f"{n} line {i}" for n in "abc" for i in range(100)]
+    land_lines(roll_files(numbered), str(tmp_path / "out"))
+    assert files(tmp_path / "out")[30][-1] == "c line 98"
+
+
+def test_no_lines(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "empty").write_text("")
+    assert number_text(spark, str(tmp_path / "in")).count() == 0
+
+
 def test_chunks(spark, tmp_path):
     lines = spark.range(1_000).repartition(3).select(F.col("id").cast("string").alias("value"))
     land_chunks(lines, str(tmp_path / "out"))

@@ -117,6 +117,18 @@ def test_a_post_matches_every_rule_for_its_account(spark, sized):
     assert sorted(r.id for r in match_rules(posts, rules, tags=False).collect()) == [1, 5]
 
 
+def test_columns_of_any_type_beside_the_account(spark, sized):
+    rows = [(i, account, {"a": i}, [i], "own") for i, account in POSTS]
+    posts = spark.createDataFrame(rows, "id int, account string, m map<string,int>, l array<int>, _row string")
+    rules = rules_table(spark, {"from:a": "A", "from:c": "C"})
+    tagged = match_rules(posts.drop("_row"), rules).collect()
+    assert sorted((r.id, r.m["a"], r.l, r.tag) for r in tagged) == [(1, 1, [1], "A"), (3, 3, [3], "C"), (5, 5, [5], "A")]
+    assert match_rules(posts, rules, tags=False).columns == posts.columns
+    kept = match_rules(posts.select("account", "m"), rules, tags=False)
+    assert sorted(r.m["a"] for r in kept.collect()) == [1, 3, 5]
+    assert {r._row for r in match_rules(posts, rules, tags=False).collect()} == {"own"}
+
+
 def test_stored_rules_replace_the_ones_before(spark, tmp_path):
     for rules in ({"from:a": "A", "from:b": "B"}, {"from:c": "C"}):
         store_rules(rules_table(spark, rules), str(tmp_path / "rules"))

@@ -5,7 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from postlens import sizing
+from postlens import lookup, sizing
+from postlens.lookup import bloom
 from postlens.operators import label_posts, label_report, match_rules, prepare_lexicon
 from postlens.sizing import Size, fits_broadcast, measure, spread
 from postlens.sources import has_next, page_posts, read_pages, rules_table
@@ -43,14 +44,82 @@ def test_broadcast_plan_adds_up_before_its_only_shuffle(lexicon, documents):
     assert posts.count("Exchange hashpartitioning") == 1
 
 
-def test_salted_plan_spreads_every_word(lexicon, documents):
+def test_salted_plan_splits_hot_words(spark, lexicon, documents):
     prepared = prepare_lexicon(lexicon, "salted")
-    plan = plan_of(label_posts(documents, prepared, key="doc_id"))
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        plan = plan_of(label_posts(documents, prepared, key="doc_id"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert re.search(r"hashpartitioning\(word#\d+, _salt#\d+", plan)
     assert "SortMergeJoin" in plan
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_kept_columns_do_not_follow_the_tokens(lexicon, documents):
+    """Below the explode there are only numbers and the tokens, whatever is kept."""
+    for strategy in ("broadcast", "salted"):
+        prepared = prepare_lexicon(lexicon, strategy)
+        labels = label_posts(documents, prepared, key="doc_id", keep=["text", "lang", "source"])
+        plan = plan_of(labels, "formatted")
+        generate = re.search(r"\(\d+\) Generate\nInput \[\d+\]: \[(.*)\]", plan).group(1)
+        assert not re.search("text|lang|source", generate)
+        assert labels.where("text IS NOT NULL").count() == documents.where("text IS NOT NULL").count()
+
+
+def test_hot_keys_by_measured_share(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        key = F.when(F.col("id") < 4_000, "hot").when(F.col("id") < 5_000, "warm").otherwise(F.col("id").cast("string"))
+        facts = spark.range(10_000).select("id", key.alias("k"))
+        assert sizing.hot_keys(facts, "k") == {"hot": 8, "warm": 2}
+        assert sizing.hot_keys(facts.where("false"), "k") == {}
+        nulls = facts.select(F.lit(None).cast("string").alias("k"))
+        assert sizing.hot_keys(nulls, "k") == {}
+        dim = spark.createDataFrame([("hot", 1), ("warm", 2), ("9999", 3)], "k string, v int")
+        joined = sizing.salted_join(facts, dim, "k", "inner", [F.col("id")])
+        assert joined.groupBy("v").count().orderBy("v").collect() == [(1, 4_000), (2, 1_000), (3, 1)]
+        # Only the rows of hot keys are repeated, once per part.
+        plan = plan_of(joined)
+        assert re.search(r"hashpartitioning\(k#\d+, _salt#\d+", plan) and "sequence(0, (coalesce(_parts" in plan
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_few_tokens_pass_a_bloom_filter(spark):
+    words = spark.range(5_000).select(F.concat(F.lit("w"), "id").alias("word"))
+    known = bloom(words, "word", 5_000)
+    assert words.where(~known.passes(F.col("word"))).isEmpty()
+    others = spark.range(100_000).select(F.concat(F.lit("x"), "id").alias("word"))
+    assert others.where(known.passes(F.col("word"))).count() < 4_000
+    assert not spark.createDataFrame([(None,)], "word string").where(known.passes(F.col("word"))).count() > 1
+    none = bloom(words.where("false"), "word", 0)
+    assert others.where(none.passes(F.col("word"))).isEmpty()
+
+
+def test_a_filter_too_small_is_left_out(spark, monkeypatch):
+    words = spark.range(1_000).select(F.col("id").cast("string").alias("word"))
+    monkeypatch.setattr(lookup, "FILTER_BYTES", 1024)
+    assert words.where(~bloom(words, "word", 1_000).passes(F.col("word"))).isEmpty()
+    monkeypatch.setattr(lookup, "FILTER_BYTES", 256)
+    assert bloom(words, "word", 1_000) is None
+
+
+def test_tokens_are_filtered_before_the_shuffle(lexicon, documents):
+    """What the salted join shuffles is hits and few others, and the labels are the same."""
+    prepared = prepare_lexicon(lexicon, "salted")
+    tokens = documents.select(F.explode(F.split("text", " ")).alias("word"))
+    hits = tokens.join(prepared.table, "word").count()
+    passed = tokens.where(prepared.known.passes(F.col("word"))).count()
+    assert hits <= passed <= hits + 0.05 * tokens.count() < 0.5 * tokens.count()
+    labels = label_posts(documents, prepared, key="doc_id")
+    plan = plan_of(labels)
+    shuffled = plan.split("Exchange hashpartitioning(word")[1].split("Exchange")[0]
+    assert re.search(r"Filter .*xxhash64\(word#\d+, 0, 42\)", shuffled) and "Generate explode" in shuffled
+    plain = label_posts(documents, prepared._replace(known=None), key="doc_id")
+    assert labels.exceptAll(plain).isEmpty() and plain.exceptAll(labels).isEmpty()
+
+
 def test_few_rules_reach_the_scan(spark, documents):
     rules = rules_table(spark, {"from:src2": "a", "from:src7": "b"})
     for tags in (True, False):

@@ -28,6 +28,13 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def free_prefix(df: DataFrame, prefix: str = "_") -> str:
+    """A prefix that no column name of `df` begins with, whatever the case."""
+    while any(column.lower().startswith(prefix.lower()) for column in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers of this application find this package where the driver found it.
 

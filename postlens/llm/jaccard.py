@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.common import importable
+from postlens.llm.common import free_prefix, importable
 from postlens.llm.graph import components
 from postlens.workspace import new_folder
 
@@ -179,26 +179,13 @@ def _compared(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select(*columns).mapInArrow(batches, "key binary, links bigint, other binary")
 
 
-def near_duplicates(
-    docs: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    width: int = WIDTH,
-    threshold: float = THRESHOLD,
-    recall: float = RECALL,
-    hashes: int = HASHES,
-) -> DataFrame:
-    """One row per row of `docs`: `key`, `class_id`, `copy_id`, `n_copies`, `n_links`.
+def _text_classes(
+    docs: DataFrame, key: str, text: str, width: int, threshold: float, recall: float, hashes: int
+) -> tuple[DataFrame, DataFrame]:
+    """`id, key, text` of every row, `key` being the text's digest, and a row for each text.
 
-    Two different texts are linked if the Jaccard similarity of their sets of `width`-word
-    windows reaches `threshold`. `n_links` counts the different texts linked to this one,
-    `copy_id` is the least key among rows of the same text and `n_copies` their number;
-    `class_id` is the least key of all rows that links and equal texts join together.
-
-    Texts of fewer words have one window of all their words. NULL and empty texts are one
-    text without windows, linked to none. NULL keys are never least. Repeated rows are
-    copies. Pairs at the threshold are missed with a probability of at most `1 - recall`;
-    every pair of a candidate cluster is compared, whatever its size.
+    The latter has `key`, its class's `root`, the least id of the class, `copy_id`,
+    `n_copies` and `n_links`.
     """
     spark = docs.sparkSession
     importable(spark)
@@ -228,7 +215,33 @@ def near_duplicates(
     roots = components(forest).select(F.col("node").alias("key"), "root")
     joined = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = joined.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    joined = joined.join(least, "root").join(counts, "key", "left").drop("root")
+    return texts, joined.join(least, "root").join(counts, "key", "left")
+
+
+def near_duplicates(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    width: int = WIDTH,
+    threshold: float = THRESHOLD,
+    recall: float = RECALL,
+    hashes: int = HASHES,
+) -> DataFrame:
+    """One row per row of `docs`: `key`, `class_id`, `copy_id`, `n_copies`, `n_links`.
+
+    Two different texts are linked if the Jaccard similarity of their sets of `width`-word
+    windows reaches `threshold`. `n_links` counts the different texts linked to this one,
+    `copy_id` is the least key among rows of the same text and `n_copies` their number;
+    `class_id` is the least key of all rows that links and equal texts join together. Other
+    columns of `docs` are ignored. Long texts are compared whole. An empty table gives an
+    empty table.
+
+    Texts of fewer words have one window of all their words. NULL and empty texts are one
+    text without windows, linked to none. NULL keys are never least. Repeated rows are
+    copies. Pairs at the threshold are missed with a probability of at most `1 - recall`;
+    every pair of a candidate cluster is compared, whatever its size.
+    """
+    texts, joined = _text_classes(docs, key, text, width, threshold, recall, hashes)
     return (
         texts.select("id", "key")
         .join(joined, "key")
@@ -243,10 +256,29 @@ def near_duplicates(
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of `docs` with the least key of their class.
+    """One row of each class: that of least key, NULL last, and of those the least digest.
 
-    Rows that repeat a key and its text are one document and stay together.
+    Of rows that repeat both key and text one stays; which one is settled when they are
+    numbered in a written table. All columns are carried on, whatever their names. An empty table
+    gives an empty table.
     """
-    kept = near_duplicates(docs, key, text, **how).where(F.col(key).eqNullSafe(F.col("class_id")))
-    kept = kept.select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
+    options = {"width": WIDTH, "threshold": THRESHOLD, "recall": RECALL, "hashes": HASHES} | how
+    _, classes = _text_classes(docs, key, text, **options)
+    least = F.min(F.struct(F.col("copy_id").isNull().alias("none"), "copy_id", "key")).alias("one")
+    p = free_prefix(docs)
+    folder = new_folder(docs.sparkSession, "survivors")
+    chosen = classes.groupBy("root").agg(least)
+    chosen.select(F.col("one.key").alias(f"{p}key"), F.col("one.copy_id").alias(f"{p}id")).write.parquet(folder)
+    chosen = docs.sparkSession.read.parquet(folder)
+    own = (text_key(docs[text]) == F.col(f"{p}key")) & docs[key].eqNullSafe(F.col(f"{p}id"))
+    rows = docs.join(chosen, own).select(*(docs[c] for c in docs.columns), f"{p}key")
+    repeats = docs.select(F.col(key).alias("id"), text_key(F.col(text)).alias(f"{p}key")).groupBy("id", f"{p}key")
+    repeats = repeats.count().where("count > 1").join(chosen, f"{p}key", "left_semi")
+    if repeats.isEmpty():
+        return rows.drop(f"{p}key")
+    # Rows are numbered, and the numbers kept in a table, so that one of each can be named.
+    folder = new_folder(docs.sparkSession, "numbered")
+    rows.withColumn(f"{p}row", F.monotonically_increasing_id()).write.parquet(folder)
+    rows = docs.sparkSession.read.parquet(folder)
+    first = rows.groupBy(f"{p}key").agg(F.min(f"{p}row").alias(f"{p}row"))
+    return rows.join(first.select(f"{p}row"), f"{p}row", "left_semi").select(*docs.columns)

@@ -1,11 +1,13 @@
 """Quality rules: shape counts, and a log-likelihood ratio of hashed n-grams.
 
-Words and word pairs are hashed into a fixed number of buckets. Two multinomials over
-the buckets, one of trusted documents and one of the whole corpus, give each bucket a
-log ratio; a document's score is the mean ratio of its n-grams. Trusted texts are dealt
-to folds by hash, and no text is scored by trusted counts of its own fold, so none is
-credited with its own n-grams. The threshold is the one that best parts the labelled rows
-by these held-out scores. Equal texts share a fold and always fare alike.
+Words and word pairs are hashed. Two multinomials over the hash buckets, one of trusted
+texts and one of the whole corpus, give each bucket a log ratio; a document's score is the
+mean ratio of its n-grams. The trusted multinomial is smoothed with the corpus, so every
+bucket without a trusted n-gram has the same ratio, and only the others need to be counted:
+there are as many buckets as the trusted sample asks for, however large the corpus.
+
+A trusted text is scored by the other trusted texts alone, also where it comes again without
+a label. The threshold is the one that best parts the labelled rows by these scores.
 """
 
 from __future__ import annotations
@@ -16,71 +18,87 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.common import SPACE_RUN, free_name, words
+from postlens.llm.common import SPACE_RUN, free_prefix, words
+from postlens.llm.jaccard import text_key
+from postlens.lookup import dense, look_up
+from postlens.sizing import fits_broadcast, measure
 from postlens.workspace import new_folder
 
-BUCKETS = 65_536
-LEAST_BUCKETS = 1_024
-GRAMS_A_BUCKET = 64
-FOLDS = 8
-TRUSTED = 20_000
-THRESHOLD = -0.1
+# Keys of labelled documents of either kind that the model is fitted on, at most.
+TRUSTED = 2_000
+
+# Buckets for every distinct n-gram of the trusted texts, at least.
+ROOM = 8
+LEAST_BUCKETS = 1 << 10
+
+# Tables of more buckets, a byte each, are joined with the n-grams instead of looked up.
+LOOKED_UP = 1 << 26
+
+# Share of the trusted counts in the smoothed multinomial, and parts of one in a stored ratio.
+TRUST = 0.5
+PARTS = 16
+NEUTRAL = round(PARTS * math.log(1 - TRUST))
+
+# How often a share of good documents lost counts against the same share of bad ones kept.
+LOST = 10
+
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 SYMBOLS = "[^#*$%&|<>]+"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def with_hashes(docs: DataFrame, text: Column, kept: list[str]) -> DataFrame:
-    """The columns `kept`, with hashes of words, `_one`, and of adjacent pairs, `_two`.
+def with_hashes(docs: DataFrame, text: Column, kept: list[str], p: str = "_") -> DataFrame:
+    """The columns `kept`, with hashes of words, `one`, and of adjacent pairs, `two`, after `p`.
 
     The last pair is the last word and the end of the text, so both have an entry per word.
     """
-    step = docs.select(*kept, F.transform(words(text), lambda w: F.xxhash64(w)).alias("_one"))
-    one = F.col("_one")
-    return step.withColumn("_two", F.transform(one, lambda h, i: F.xxhash64(h, F.get(one, i + 1))))
+    step = docs.select(*kept, F.transform(words(text), lambda w: F.xxhash64(w)).alias(f"{p}one"))
+    one = F.col(f"{p}one")
+    return step.withColumn(f"{p}two", F.transform(one, lambda h, i: F.xxhash64(h, F.get(one, i + 1))))
 
 
-def with_shape(step: DataFrame, text: Column, names: dict[str, str]) -> DataFrame:
-    """Adds the counts of shape under the given names, within each row.
+def with_shape(step: DataFrame, text: Column, p: str) -> DataFrame:
+    """Adds the counts of shape, named with `p` in front, within each row.
 
     Windows of three words are compared by 64-bit hashes. Sorted with their positions,
     equal ones are neighbours; the positions kept then cover words up to the next one.
     The two windows that run over the end of the text equal no other.
     """
-    one, two = F.col("_one"), F.col("_two")
+    one, two = F.col(f"{p}one"), F.col(f"{p}two")
     filled = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(filled, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     step = step.withColumns(
         {
-            "_threes": F.transform(two, lambda x, i: F.xxhash64(x, F.get(one, i + 2))),
-            "_lines": lines,
-            names["n_words"]: F.size(one).cast("bigint"),
-            names["word_chars"]: F.length(F.regexp_replace(filled, SPACE_RUN, "")).cast("bigint"),
-            names["n_symbols"]: F.length(F.regexp_replace(filled, SYMBOLS, "")).cast("bigint"),
+            f"{p}threes": F.transform(two, lambda x, i: F.xxhash64(x, F.get(one, i + 2))),
+            f"{p}lines": lines,
+            f"{p}n_words": F.size(one).cast("bigint"),
+            f"{p}word_chars": F.length(F.regexp_replace(filled, SPACE_RUN, "")).cast("bigint"),
+            f"{p}n_symbols": F.length(F.regexp_replace(filled, SYMBOLS, "")).cast("bigint"),
         }
     )
-    w = F.col("_threes")
+    w = F.col(f"{p}threes")
     placed = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))))
     some = F.size(F.array_distinct(w)) < F.size(w)
     none = F.array().cast("array<struct<w:bigint,i:int>>")
-    repeated_lines = F.size("_lines") - F.size(F.array_distinct("_lines"))
+    repeated_lines = F.size(f"{p}lines") - F.size(F.array_distinct(f"{p}lines"))
     step = step.withColumns(
         {
-            "_sorted": F.when(some, placed).otherwise(none),
-            names["n_dup_lines"]: repeated_lines.cast("bigint"),
+            f"{p}sorted": F.when(some, placed).otherwise(none),
+            f"{p}n_dup_lines": repeated_lines.cast("bigint"),
         }
-    ).drop("_threes", "_lines")
-    s = F.col("_sorted")
+    ).drop(f"{p}threes", f"{p}lines")
+    s = F.col(f"{p}sorted")
     twice = F.filter(
         s,
         lambda x, i: F.coalesce(x["w"] == F.get(s, i + 1)["w"], F.lit(False))
         | F.coalesce(x["w"] == F.get(s, i - 1)["w"], F.lit(False)),
     )
-    step = step.withColumn("_at", F.sort_array(F.transform(twice, lambda x: x["i"]))).drop("_sorted")
-    at = F.col("_at")
+    step = step.withColumn(f"{p}at", F.sort_array(F.transform(twice, lambda x: x["i"]))).drop(f"{p}sorted")
+    at = F.col(f"{p}at")
     covered = F.transform(at, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - x, F.lit(3))))
     total = F.aggregate(covered, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    return step.withColumn(names["n_repeat_words"], total).drop("_at")
+    return step.withColumn(f"{p}n_repeat_words", total).drop(f"{p}at")
 
 
 def _bounded(labels: DataFrame, key: str, most: int) -> DataFrame:
@@ -90,7 +108,7 @@ def _bounded(labels: DataFrame, key: str, most: int) -> DataFrame:
 def trusted_ids(labels: DataFrame, key: str = "doc_id", most: int = TRUSTED) -> DataFrame:
     """Keys of documents labelled good and not toxic, at most `most` of them.
 
-    The bound keeps the broadcast small whatever the number of labels; which are taken
+    The bound keeps the sample small whatever the number of labels; which are taken
     depends on a hash of the key, not on their order.
     """
     good = labels.where(f"quality = 1 AND coalesce(toxic, 0) = 0 AND {key} IS NOT NULL")
@@ -102,187 +120,177 @@ def rejected_ids(labels: DataFrame, key: str = "doc_id", most: int = TRUSTED) ->
     return _bounded(labels.where(f"quality = 0 AND {key} IS NOT NULL"), key, most)
 
 
-def fit_ratios(
-    docs: DataFrame,
-    trusted: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    buckets: int = BUCKETS,
-) -> list[float]:
-    """The log of trusted over corpus probability, for every bucket.
-
-    Counts are over all rows of `docs`, with one added to each bucket. Without any trusted
-    n-gram all ratios are 0. The driver gets one row per bucket, a fixed number.
-    """
-    good = F.broadcast(trusted.select(F.col(key).alias("_key"), F.lit(True).alias("_good")))
-    docs = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    hashed = with_hashes(docs, F.col("_text"), ["_key"]).join(good, "_key", "left")
-    grams = hashed.select("_good", F.explode(F.concat("_one", "_two")).alias("_gram"))
-    counts = grams.groupBy(F.pmod("_gram", F.lit(buckets)).cast("int").alias("bucket")).agg(
-        F.count(F.lit(1)).alias("raw"), F.count("_good").alias("good")
-    )
-    raw, trust = [1] * buckets, [1] * buckets
-    for row in counts.collect():
-        raw[row["bucket"]] += row["raw"]
-        trust[row["bucket"]] += row["good"]
-    raw_all, trust_all = sum(raw), sum(trust)
-    if trust_all == buckets:
-        return [0.0] * buckets
-    return [math.log(t / trust_all) - math.log(r / raw_all) for t, r in zip(trust, raw, strict=True)]
-
-
 @dataclass(frozen=True)
 class Model:
-    """Ratios of all buckets, fold after fold, and the threshold on the scores they give."""
-
-    ratios: list[float]
-    folds: int
-    threshold: float
-
-
-def fold_of(text: Column, folds: int) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(text, F.lit("")), F.lit("fold")), F.lit(folds)).cast("int")
+    """What is known of the buckets, where it is kept, and the threshold on scores.
 
+    `ratios` has a row `bucket, ratio` for each bucket with trusted n-grams, `table` the
+    ratios of all buckets in one row of arrays (None if there are too many buckets), and
+    `held` a row `digest, score` for each trusted text, scored by the others.
+    """
 
-def buckets_for(grams: int) -> int:
-    """A power of two, one bucket for 64 n-grams or more, from 1,024 to `BUCKETS`."""
-    wanted = max(1, grams // GRAMS_A_BUCKET)
-    return min(BUCKETS, max(LEAST_BUCKETS, 1 << (wanted - 1).bit_length()))
+    buckets: int
+    ratios: DataFrame
+    table: DataFrame | None
+    held: DataFrame
+    threshold: float
 
 
 def best_threshold(good: list[float], bad: list[float]) -> float:
-    """The score from which on documents are kept: least sum of the shares lost and kept wrongly.
+    """The score from which on documents are kept.
 
-    It lies halfway between two scores. Of equal sums the lowest counts. Without good scores
-    it is 0, the score of everything then; without bad ones no good one is lost.
+    The share of good ones lost counts `LOST` times, that of bad ones kept once, and their sum
+    is least. It lies halfway between two scores. Of equal sums the lowest counts. Without
+    good scores or without bad ones everything is kept.
     """
     if not good or not bad:
-        return min(good, default=0.0)
+        return -math.inf
     marked = sorted([(x, 1 / len(good), 0.0) for x in good] + [(x, 0.0, 1 / len(bad)) for x in bad])
     lost, kept = 0.0, 1.0
     best, threshold = kept, marked[0][0]
     for at, (x, of_good, of_bad) in enumerate(marked):
         lost, kept = lost + of_good, kept - of_bad
         following = marked[at + 1][0] if at + 1 < len(marked) else math.inf
-        if following > x and lost + kept < best - 1e-12:
-            best, threshold = lost + kept, x + 1e-9 if following == math.inf else (x + following) / 2
+        if following > x and LOST * lost + kept < best - 1e-12:
+            best, threshold = LOST * lost + kept, x + 1e-9 if following == math.inf else (x + following) / 2
     return threshold
 
 
-def fit_model(
-    docs: DataFrame,
-    labels: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    folds: int = FOLDS,
-) -> Model:
-    """Ratios by fold and the threshold, from `docs` and `labels` (`key`, `quality`, `toxic`).
-
-    Corpus counts are over all rows; trusted counts of a fold are over the trusted texts of
-    the other folds, so labelled and unlabelled texts are scored by the same rule. The
-    threshold is taken from the scores of trusted and of rejected rows that pass the base
-    rules, at most `TRUSTED` keys of each; a key of several rows counts by its least score.
-    The driver gets a row for each bucket and each of those keys.
+def buckets_for(distinct: int) -> int:
+    """A power of two, `ROOM` buckets or more for each distinct n-gram of the trusted texts."""
+    return max(LEAST_BUCKETS, 1 << max(0, ROOM * distinct - 1).bit_length())
+
+
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    folder = new_folder(rows.sparkSession, name)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.parquet(folder)
+
+
+def ratio(trust: Column, trust_all: Column, raw: Column, raw_all: Column) -> Column:
+    """The log ratio of a bucket in parts of one, from its counts and those of all buckets."""
+    share = F.coalesce(F.try_divide(trust, trust_all), F.lit(0.0))
+    times = F.lit(1 - TRUST) + F.lit(TRUST) * share * raw_all / raw
+    return F.least(F.lit(127), F.round(F.lit(PARTS) * F.log(times))).cast("tinyint")
+
+
+def bucket_of(gram: Column, buckets: int) -> Column:
+    return F.pmod(gram, F.lit(buckets).cast("bigint"))
+
+
+def _grams(step: DataFrame, *kept: str) -> DataFrame:
+    return step.select(*kept, F.explode(F.concat("_one", "_two")).alias("gram"))
+
+
+def fit_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
+    """The model of `docs` and `labels` (`key`, `quality`, `toxic`).
+
+    Trusted counts are over the different texts of at most `TRUSTED` keys, corpus counts over
+    all rows. The threshold is taken from the scores of trusted and of rejected rows that
+    pass the base rules, at most `TRUSTED` keys of each; a key of several rows counts by its
+    least score. Without labels everything that passes the base rules is kept. The driver
+    gets a score for each of those keys, and a table of at most `LOOKED_UP` bytes.
+
+    NULL texts have no n-grams. Rows with NULL keys are counted, but are never labelled.
+    Labels without a document are ignored, as are other columns. Long texts count whole.
     """
-    trusted, rejected = trusted_ids(labels, key), rejected_ids(labels, key)
-    marks = trusted.select(F.col(key).alias("_key"), F.lit(True).alias("_good")).union(
-        rejected.select(F.col(key).alias("_key"), F.lit(False).alias("_good"))
-    )
-    good = F.broadcast(marks.where("_good"))
+    marks = trusted_ids(labels, key).select(F.col(key).alias("_key"), F.lit(True).alias("_good"))
+    marks = marks.union(rejected_ids(labels, key).select(F.col(key).alias("_key"), F.lit(False).alias("_good")))
     narrow = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    hashed = with_hashes(
-        narrow.withColumn("_fold", fold_of(F.col("_text"), folds)), F.col("_text"), ["_key", "_fold"]
-    ).join(good, "_key", "left")
-    part = F.when(F.col("_good"), F.col("_fold")).otherwise(F.lit(folds))
-    grams = hashed.select(part.alias("_part"), F.explode(F.concat("_one", "_two")).alias("_gram"))
-    counts = grams.groupBy(F.pmod("_gram", F.lit(BUCKETS)).cast("int").alias("bucket"), "_part").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    by_part = [F.sum(F.when(F.col("_part") == k, F.col("n"))).alias(f"p{k}") for k in range(folds + 1)]
-    rows = counts.groupBy("bucket").agg(*by_part).collect()
-    # A power of two divides `BUCKETS`, so buckets are folded together on the driver.
-    buckets = buckets_for(sum(n for row in rows for n in row[1:] if n))
-    trust = [[0] * buckets for _ in range(folds)]
-    raw = [1] * buckets
-    for bucket, *found in rows:
-        for k, n in enumerate(found):
-            raw[bucket % buckets] += n or 0
-            if n and k < folds:
-                trust[k][bucket % buckets] += n
-    whole = [sum(of_folds) for of_folds in zip(*trust, strict=True)]
-    raw_all, ratios = sum(raw), []
-    for own in trust:
-        others = [w - o + 1 for w, o in zip(whole, own, strict=True)]
-        total = sum(others)
-        if total == buckets:
-            ratios += [0.0] * buckets
+    marked = _written(narrow.join(F.broadcast(marks), "_key"), "quality-labelled")
+
+    texts = marked.where("_good").groupBy(text_key(F.col("_text")).alias("digest")).agg(F.first("_text").alias("_text"))
+    own = _grams(with_hashes(texts, F.col("_text"), ["digest"]), "digest")
+    own = _written(own.groupBy("digest", "gram").agg(F.count(F.lit(1)).alias("n")), "quality-grams")
+    buckets = buckets_for(own.select("gram").distinct().count())
+    own = own.groupBy("digest", bucket_of(F.col("gram"), buckets).alias("bucket")).agg(F.sum("n").alias("n"))
+    trust = _written(own.groupBy("bucket").agg(F.sum("n").alias("trust")), "quality-trust")
+    trust_all = F.lit(trust.agg(F.sum("trust")).first()[0] or 0)
+
+    # Corpus counts of the buckets with trusted n-grams; all others are counted as one.
+    grams = _grams(with_hashes(narrow, F.col("_text"), [])).select(bucket_of(F.col("gram"), buckets).alias("bucket"))
+    if buckets <= LOOKED_UP:
+        member = dense(trust.select(F.col("bucket").alias("place"), F.lit(1).cast("tinyint").alias("is")), "is", buckets, 0)
+        grams = grams.select(F.when(look_up(member, F.col("bucket"), buckets) == 1, F.col("bucket")).alias("bucket"))
+        raw = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"))
+    else:
+        raw = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw")).join(trust, "bucket", "left")
+        raw = raw.groupBy(F.when(F.col("trust").isNotNull(), F.col("bucket")).alias("bucket")).agg(F.sum("raw").alias("raw"))
+    raw = _written(raw, "quality-raw")
+    raw_all = F.lit(raw.agg(F.sum("raw")).first()[0] or 0)
+    counts = _written(trust.join(raw, "bucket"), "quality-counts")
+    ratios = counts.select("bucket", ratio(F.col("trust"), trust_all, F.col("raw"), raw_all).alias("ratio"))
+    ratios = _written(ratios, "quality-ratios")
+    table = dense(ratios.withColumnRenamed("bucket", "place"), "ratio", buckets, NEUTRAL) if buckets <= LOOKED_UP else None
+
+    sizes = own.groupBy("digest").agg(F.sum("n").alias("size"))
+    left = ratio(F.col("trust") - F.col("n"), trust_all - F.col("size"), F.col("raw"), raw_all)
+    held = own.join(counts, "bucket").join(sizes, "digest").groupBy("digest")
+    held = held.agg((F.sum(left * F.col("n")) / F.sum("n") / PARTS).alias("score"))
+    model = Model(buckets, ratios, table, _written(held, "quality-held"), -math.inf)
+    judged = judge_quality(marked, model, "_text")
+    judged = _written(judged.select("_key", "_good", "score", "base_failed"), "quality-scores")
+    scores = judged.where("NOT base_failed").groupBy("_key", "_good").agg(F.min("score").alias("score")).collect()
+    found = {flag: [r["score"] for r in scores if r["_good"] == flag] for flag in (True, False)}
+    return Model(buckets, ratios, table, model.held, best_threshold(found[True], found[False]))
+
+
+def _judged_texts(docs: DataFrame, model: Model | None, text: str) -> DataFrame:
+    """A row for each different text: `digest`, its counts, `size` and `sum` of its ratios."""
+    narrow = docs.select(F.col(text).alias("_text"), text_key(F.col(text)).alias("digest"))
+    step = with_shape(with_hashes(narrow, F.col("_text"), ["digest", "_text"]), F.col("_text"), "_")
+    counts = [f"_{name}" for name in COUNTS]
+    grams = step.select("digest", *counts, F.explode_outer(F.concat("_one", "_two")).alias("gram"))
+    if model is None:
+        grams = grams.withColumn("ratio", F.lit(0))
+    else:
+        bucket = bucket_of(F.col("gram"), model.buckets)
+        if model.table is not None:
+            grams = grams.withColumn("ratio", look_up(model.table, bucket, model.buckets))
         else:
-            ratios += [
-                round(math.log(t / total) - math.log(r / raw_all), 6)
-                for t, r in zip(others, raw, strict=True)
-            ]
-    # Both are written, so that the optimiser does not repeat the steps' expressions in the
-    # join before them or the aggregate after them. They hold the labelled sample only.
-    spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "quality-labelled")
-    narrow.join(F.broadcast(marks), "_key").write.parquet(folder)
-    marked = spark.read.parquet(folder)
-    judged = judge_quality(marked, ratios, "_text", folds=folds)
-    folder = new_folder(spark, "quality-scores")
-    judged.select("_key", "_good", "score", "base_failed", "n_words").write.parquet(folder)
-    judged = spark.read.parquet(folder).where("NOT base_failed")
-    scores = judged.groupBy("_key", "_good").agg(F.min("score").alias("score")).collect()
-    held = {flag: [r["score"] for r in scores if r["_good"] == flag] for flag in (True, False)}
-    return Model(ratios, folds, best_threshold(held[True], held[False]))
-
-
-def ratio_table(ratios: list[float]) -> Column:
-    """The ratios as one constant array; Spark folds it when it optimises the query."""
-    return F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
-
-
-def judge_quality(
-    docs: DataFrame,
-    ratios: list[float],
-    text: str = "text",
-    threshold: float = THRESHOLD,
-    folds: int = 1,
-) -> DataFrame:
+            grams = grams.withColumn("bucket", bucket).join(model.ratios, "bucket", "left")
+    # Equal texts have equal sums, so that of all their rows has the same mean.
+    found = grams.groupBy("digest").agg(
+        *(F.max(name).alias(name) for name in counts),
+        F.count("gram").alias("size"),
+        F.sum(F.when(F.col("gram").isNotNull(), F.coalesce("ratio", F.lit(NEUTRAL)))).alias("sum"),
+    )
+    mean = F.coalesce(F.try_divide(F.col("sum"), F.col("size")) / PARTS, F.lit(0.0))
+    if model is None:
+        return found.withColumn("score", mean)
+    held = model.held.withColumnRenamed("score", "held")
+    return found.join(held, "digest", "left").withColumn("score", F.coalesce("held", mean)).drop("held")
+
+
+def judge_quality(docs: DataFrame, model: Model | None, text: str = "text", prefix: str = "") -> DataFrame:
     """Every row of `docs` with its counts, `base_failed`, `score` and `kept`.
 
     `score` is the mean ratio over the words and word pairs of the whole text, 0 for a
-    text without words. `base_failed`: fewer than 50 words, or more than half of the words
-    in repeated windows of three. `kept`: not `base_failed` and a score of at least
-    `threshold`. NULL texts have no words and fail. Columns of `docs` with the same names
-    are replaced; repeated rows are judged each on its own. `ratios` holds as many buckets
-    for each of `folds`, fold after fold.
+    text without words; a trusted text has its held-out score. `base_failed`: fewer than 50
+    words, or more than half of the words in repeated windows of three. `kept`: not
+    `base_failed` and a score of at least the model's threshold. Without a model all scores
+    are 0 and the base rules alone decide.
+
+    Texts are judged once each; what is found is joined to the rows by a digest, broadcast
+    if it is small enough. The names of the results begin with `prefix`; columns of `docs`
+    with the same names are replaced, all others are carried on, whatever their names. NULL
+    and empty texts have no words and fail. Repeated rows stay, equal texts fare alike. Long
+    texts are judged whole. An empty table gives an empty table.
     """
-    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    names = {name: free_name(docs, f"q_{name}") for name in counts}
-    step = with_shape(with_hashes(docs, F.col(text), docs.columns), F.col(text), names)
-    table, buckets = ratio_table(ratios), len(ratios) // folds
-    first = free_name(docs, "q_first")
-    step = step.withColumn(first, fold_of(F.col(text), folds) * buckets)
-
-    def summed(hashes: str) -> Column:
-        at = lambda h: F.pmod(h, F.lit(buckets)).cast("int")
-        look = lambda acc, h: acc + F.get(table, F.col(first) + at(h) if folds > 1 else at(h))
-        return F.aggregate(hashes, F.lit(0.0), look)
-
-    size = F.size("_one") + F.size("_two")
-    mean = F.when(size > 0, (summed("_one") + summed("_two")) / size).otherwise(F.lit(0.0))
-    score = free_name(docs, "q_score")
-    step = step.withColumn(score, mean).drop("_one", "_two")
-    n, repeats = F.col(names["n_words"]), F.col(names["n_repeat_words"])
+    p = free_prefix(docs)
+    found = _written(_judged_texts(docs, model, text), "quality-texts")
+    small = fits_broadcast(measure(found))
+    found = found.select(*(F.col(c).alias(p + c) for c in found.columns))
+    found = F.broadcast(found) if small else found
+    step = docs.join(found, text_key(docs[text]) == F.col(f"{p}digest"))
+    n, repeats, score = F.col(f"{p}_n_words"), F.col(f"{p}_n_repeat_words"), F.col(f"{p}score")
     failed = (n < MIN_WORDS) | (100 * repeats > REPEAT_PERCENT * n)
-    new = [*names, "base_failed", "score", "kept"]
-    # A filter on the results must not be pushed below the steps, where every use of a step
-    # would repeat its expression; it stops at a number that differs from row to row.
-    row = free_name(docs, "q_row")
-    step = step.withColumn(row, F.monotonically_increasing_id())
+    threshold = -math.inf if model is None else model.threshold
+    new = [prefix + name for name in (*COUNTS, "base_failed", "score", "kept")]
     return step.select(
-        *(c for c in docs.columns if c not in new),
-        *(F.col(hidden).alias(name) for name, hidden in names.items()),
-        failed.alias("base_failed"),
-        F.col(score).alias("score"),
-        ((F.col(row) >= 0) & ~failed & (F.col(score) >= threshold)).alias("kept"),
+        *(docs[c] for c in docs.columns if c.lower() not in {name.lower() for name in new}),
+        *(F.col(f"{p}_{name}").alias(prefix + name) for name in COUNTS),
+        failed.alias(f"{prefix}base_failed"),
+        score.alias(f"{prefix}score"),
+        (~failed & (score >= threshold)).alias(f"{prefix}kept"),
     )

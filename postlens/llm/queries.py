@@ -53,8 +53,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = document_rows(spark, sf_dir).select("doc_id", "text")
     model = quality.fit_model(docs, document_rows(spark, sf_dir, "labels"))
-    judged = quality.judge_quality(docs, model.ratios, threshold=model.threshold, folds=model.folds)
-    return judged.drop("text")
+    return quality.judge_quality(docs, model).drop("text")
 
 
 def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlens.llm.common import importable
+from postlens.llm.common import free_prefix, importable
 from postlens.llm.jaccard import text_key
 from postlens.workspace import new_folder
 
@@ -29,16 +29,20 @@ def remove_repeats(
     text: str = "text",
     keep: list[str] | None = None,
     run_bytes: int = RUN_BYTES,
+    whole: bool = False,
 ) -> DataFrame:
     """One row per row of `docs`: `key`, `n_bytes`, `n_removed`, `n_spans`, `kept`.
 
-    The columns `keep` of `docs` follow, if they are named.
+    The columns `keep` of `docs` follow, if they are named; their names must be others. If
+    `whole`, a character of which a byte goes is removed as a whole.
 
     Texts are UTF-8 bytes; NULL is empty. A byte is removed if a 50-byte string that covers
     it also starts in a row of smaller key, as the input has them. `n_spans` counts maximal
     removed runs and `kept` holds the other bytes in order, which may cut characters. Rows
     of equal keys do not count against each other; NULL keys come after all others. Texts
-    of fewer than 50 bytes stay whole. Keys are whole numbers.
+    of fewer than 50 bytes stay whole, longer ones are judged over their whole length. Keys
+    are whole numbers. Columns not named in `keep` are ignored. An empty table gives an
+    empty table.
     """
     import pyarrow as pa
 
@@ -76,8 +80,11 @@ def remove_repeats(
     shared = found.groupBy("part").applyInArrow(_shared, aside)
     blocks = by_run.cogroup(copies.union(shared).groupBy("run")).applyInArrow(sort, aside)
     spans = blocks.groupBy("part").applyInArrow(_merged, aside)
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _cut(left, right, whole)
+
     done = by_run.cogroup(copies.union(spans).groupBy("run")).applyInArrow(
-        _cut, T.StructType([*T.StructType.fromDDL(CUT).fields, texts.schema["rest"]])
+        cut, T.StructType([*T.StructType.fromDDL(CUT).fields, texts.schema["rest"]])
     )
     counts = [F.col("id").alias(key), "n_bytes", "n_removed", "n_spans", "kept"]
     return done.select(*counts, *(F.col("rest")[c].alias(c) for c in keep or ()))
@@ -89,20 +96,22 @@ CUT = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with covered bytes removed from `text`; a column `n_chars` is set anew.
 
-    A character of which a part was removed goes as a whole. Texts of which nothing is left
-    are empty; no row is dropped.
+    A character of which a part was removed goes as a whole; all others stay as they are.
+    Texts of which nothing is left are empty; no row is dropped. All columns are carried on,
+    whatever their names.
     """
+    p = free_prefix(docs)
     others = [c for c in docs.columns if c not in (key, text)]
-    done = remove_repeats(docs, key, text, others)
-    # Fragments of characters become one mark each, which no text had at that place.
-    left = F.make_valid_utf8(F.col("kept").cast("string"))
-    whole = F.when(F.is_valid_utf8(F.col("kept").cast("string")), left).otherwise(
-        F.replace(left, F.lit("\ufffd"), F.lit(""))
+    hidden = {c: f"{p}{i}" for i, c in enumerate(others)}
+    plain = docs.select(
+        F.col(key).alias(f"{p}id"), F.col(text).alias(f"{p}text"), *(F.col(c).alias(h) for c, h in hidden.items())
     )
-    done = done.withColumn(text, whole)
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+    done = remove_repeats(plain, f"{p}id", f"{p}text", list(hidden.values()), whole=True)
+    columns = {key: F.col(f"{p}id").cast(docs.schema[key].dataType), text: F.col("kept").cast("string")}
+    columns |= {c: F.col(h) for c, h in hidden.items()}
+    if "n_chars" in hidden:
+        columns["n_chars"] = F.length(columns[text]).cast(docs.schema["n_chars"].dataType)
+    return done.select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def run_of(key: Column, runs: int) -> Column:
@@ -268,7 +277,16 @@ def _merged(table):
     return _rows(rows)
 
 
-def _cut(left, right):
+def _widened(data: bytes, start: int, end: int) -> tuple[int, int]:
+    """A span of UTF-8 bytes, with the rest of the characters at its borders."""
+    while 0 < start < len(data) and data[start] & 0xC0 == 0x80:
+        start -= 1
+    while end < len(data) and data[end] & 0xC0 == 0x80:
+        end += 1
+    return start, end
+
+
+def _cut(left, right, whole: bool):
     """What is left of each text of a run."""
     import numpy as np
     import pyarrow as pa
@@ -288,8 +306,10 @@ def _cut(left, right):
             of[at] = [(0, len(data))]
         kept, done = [], 0
         for start, end in of.get(at, ()):
+            if whole:
+                start, end = _widened(data, start, end)
             kept.append(data[done:start])
-            done = end
+            done = max(done, end)
         kept.append(data[done:])
         rest = b"".join(kept)
         owner = int(run.ids[at])

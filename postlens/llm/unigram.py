@@ -2,8 +2,9 @@
 
 A pre-token's best segmentation is found by forward scores: the best score of a prefix is
 that of a shorter prefix plus the last piece's. Pre-tokens with a common prefix have the
-same scores up to its end, so the scores are kept at the nodes of a trie and each node is
-computed once. A node at which a pre-token ends gives its token count.
+same scores up to its end, so the distinct new ones of some texts are put in a trie, whose
+nodes are scored level by level, each once and all of a level at a time. The nodes at which
+pre-tokens end give their counts, which are remembered.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -23,14 +26,19 @@ SPACE = "▁"
 # A word with the space before it, a space of its own, or a line end.
 PRETOKEN = re.compile(r" ?[^ \n]+| |\n")
 
-# Nodes of a worker's trie; a full trie is dropped and begun again.
-NODES = 400_000
+# Pre-tokens that a worker remembers; it forgets all of them beyond that.
+KNOWN = 600_000
+
+# Pre-tokens put in one trie.
+TRIE = 50_000
 
 # Longer pre-tokens are scored without the trie.
 DEEP = 64
 
-# Texts longer than this are cut into pre-tokens one by one.
-LONG = 1_000_000
+# Characters of the texts whose pre-tokens are looked up at a time, except for longer texts,
+# which are cut into pre-tokens some at a time.
+STEP = 1_000_000
+PIECES_HELD = 100_000
 
 # What the score of an unknown character lies below the worst piece.
 UNKNOWN = 10.0
@@ -54,43 +62,102 @@ def read_pieces(path: str) -> list[str]:
 
 
 class Counts(dict):
-    """Token counts of pre-tokens; a missing one goes through the trie."""
+    """Token counts of pre-tokens that have been learnt; a missing one is learnt alone."""
 
-    def __init__(self, scores: dict[str, float], nodes: int = NODES) -> None:
+    def __init__(self, scores: dict[str, float], known: int = KNOWN) -> None:
         self.scores = scores
-        self.most = nodes
+        self.most = known
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN
+        self.scored = 0
         lengths: dict[str, set[int]] = {}
         for piece in scores:
             lengths.setdefault(piece[-1], set()).add(len(piece))
         self.lengths = {last: sorted(found, reverse=True) for last, found in lengths.items()}
-        self.clear()
-
-    def clear(self) -> None:
-        super().clear()
-        self.child: dict[tuple[int, str], int] = {}
-        self.score = [0.0]
-        self.count = [0]
+        # Pieces by length: sorted hashes, scores and characters; longer ones than the trie is
+        # deep cannot end in it.
+        self.pieces = []
+        for length in sorted({len(piece) for piece in scores if len(piece) <= DEEP}, reverse=True):
+            pieces = [piece for piece in scores if len(piece) == length]
+            chars = _codes(pieces, length)
+            hashes = _hashes(chars)[:, -1]
+            order = np.argsort(hashes)
+            values = np.array([scores[piece] for piece in pieces])
+            self.pieces.append((length, hashes[order], values[order], chars[order]))
+        self.letters = np.sort(np.array([ord(piece) for piece in scores if len(piece) == 1], np.uint32))
 
     def __missing__(self, pretoken: str) -> int:
-        word = pretoken.replace(" ", SPACE)
-        if len(word) > DEEP:
-            return self._walked(word)
-        if len(self.score) > self.most:
+        self.learn([pretoken])
+        return self[pretoken]
+
+    def new(self, pretokens: Iterable[str]) -> list[str]:
+        """Those that are not known, each once; what was known is forgotten if it is too much."""
+        if len(self) > self.most:
             self.clear()
-        node, scores, counts = 0, [0.0], [0]
-        for end, char in enumerate(word, 1):
-            below = self.child.get((node, char))
-            if below is None:
-                score, count = self.step(word, end, scores, counts)
-                below = self.child[node, char] = len(self.score)
-                self.score.append(score)
-                self.count.append(count)
-            node = below
-            scores.append(self.score[node])
-            counts.append(self.count[node])
-        self[pretoken] = counts[-1]
-        return counts[-1]
+        return list(set(pretokens).difference(self))
+
+    def learn(self, pretokens: list[str]) -> None:
+        """Count the tokens of different pre-tokens that are not known yet."""
+        words = sorted((p.replace(" ", SPACE), p) for p in pretokens)
+        short = [pair for pair in words if len(pair[0]) <= DEEP]
+        for first in range(0, len(short), TRIE):
+            some = short[first : first + TRIE]
+            found = self._trie_counts([word for word, _ in some])
+            self.update(zip([p for _, p in some], found, strict=True))
+        for word, pretoken in words:
+            if len(word) > DEEP:
+                self[pretoken] = self._walked(word)
+
+    def _trie_counts(self, words: list[str]) -> list[int]:
+        """Counts of sorted words. A node of the trie is the first word with its prefix."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        deepest = int(sizes.max(initial=0))
+        chars = _codes(words, deepest)
+        hashes = _hashes(chars)
+        # The level down to which a word shares nodes with the one before it.
+        same = np.zeros(len(words), np.int64)
+        if len(words) > 1:
+            equal = (chars[1:] == chars[:-1]) & (chars[1:] != 0)
+            same[1:] = np.where(equal.all(axis=1), deepest, np.argmin(equal, axis=1))
+        best = np.full((len(words), deepest + 1), -np.inf)
+        best[:, 0] = 0.0
+        count = np.zeros((len(words), deepest + 1), np.int64)
+        rows = np.arange(len(words))
+        for end in range(1, deepest + 1):
+            here = rows[(same < end) & (sizes >= end)]
+            self.scored += len(here)
+            top, tokens = np.full(len(here), -np.inf), np.zeros(len(here), np.int64)
+            for length, known, values, pieces in self.pieces:
+                if length > end:
+                    continue
+                before = hashes[here, end - length - 1] * _POWERS[length] if length < end else np.uint64(0)
+                own = hashes[here, end - 1] - before
+                place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                hit = np.flatnonzero(known[place] == own)
+                if not len(hit):
+                    continue
+                row, piece = here[hit], place[hit]
+                right = (chars[row, end - length : end] == pieces[piece]).all(axis=1)
+                hit, row, piece = hit[right], row[right], piece[right]
+                score = best[row, end - length] + values[piece]
+                better = score > top[hit]
+                hit, row = hit[better], row[better]
+                top[hit], tokens[hit] = score[better], count[row, end - length] + 1
+            char = chars[here, end - 1]
+            place = np.searchsorted(self.letters, char)
+            spelled = np.ones(len(here), bool)
+            if len(self.letters):
+                spelled = self.letters[np.minimum(place, len(self.letters) - 1)] != char
+            score = best[here, end - 1] + self.unknown
+            spelled &= score > top
+            size = 1 + (char >= 0x80).astype(np.int64) + (char >= 0x800) + (char >= 0x10000)
+            top = np.where(spelled, score, top)
+            tokens = np.where(spelled, count[here, end - 1] + size, tokens)
+            # Words that share the node take its scores from the first of them.
+            best[here, end], count[here, end] = top, tokens
+            shared = rows[(same >= end) & (sizes >= end)]
+            first = np.maximum.accumulate(np.where(same < end, rows, 0))[shared]
+            best[shared, end], count[shared, end] = best[first, end], count[first, end]
+        return count[rows, sizes].tolist()
 
     def _walked(self, word: str) -> int:
         scores, counts = [0.0], [0]
@@ -121,18 +188,56 @@ class Counts(dict):
         return best, count
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(DEEP, _BASE)]), dtype=np.uint64)
+
+
+def _codes(words: list[str], width: int) -> np.ndarray:
+    """Code points of words, a row each, with zeros behind them; the words hold no U+0000."""
+    if not words or not width:
+        return np.zeros((len(words), width), np.uint32)
+    return np.array(words, f"<U{width}").view(np.uint32).reshape(len(words), width)
+
+
+def _hashes(chars: np.ndarray) -> np.ndarray:
+    """Hashes of all prefixes of the rows; that of a part follows from two of them."""
+    found = np.zeros(chars.shape, np.uint64)
+    last = np.zeros(len(chars), np.uint64)
+    for at in range(chars.shape[1]):
+        last = last * _BASE + chars[:, at].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        found[:, at] = last
+    return found
+
+
 def count_text(text: str, counts: Counts) -> tuple[int, int]:
     """Pre-tokens and tokens of a text; those of a long one are never all held at once."""
-    if len(text) <= LONG:
-        found = PRETOKEN.findall(text)
-        return len(found), sum(map(counts.__getitem__, found))
     pretokens = tokens = 0
-    for match in PRETOKEN.finditer(text):
-        pretokens += 1
-        tokens += counts[match.group()]
+    matches = PRETOKEN.finditer(text)
+    while found := [match.group() for match in islice(matches, PIECES_HELD)]:
+        counts.learn(counts.new(found))
+        pretokens += len(found)
+        tokens += sum(map(counts.__getitem__, found))
     return pretokens, tokens
 
 
+def count_texts(texts: list[str], counts: Counts) -> list[tuple[int, int]]:
+    """The same for several texts, whose new pre-tokens are learnt together."""
+    found, first = [], 0
+    while first < len(texts):
+        last, held = first, 0
+        while last < len(texts) and (last == first or held + len(texts[last]) <= STEP):
+            held += len(texts[last])
+            last += 1
+        if held > STEP:
+            found.append(count_text(texts[first], counts))
+        else:
+            cut = [PRETOKEN.findall(text) for text in texts[first:last]]
+            counts.learn(counts.new(chain.from_iterable(cut)))
+            found += [(len(own), sum(map(counts.__getitem__, own))) for own in cut]
+        first = last
+    return found
+
+
 _counts: dict[str, Counts] = {}
 
 
@@ -142,8 +247,8 @@ def count_tokens(
     """The columns `keep` (all others by default), `n_pretokens` and `n_tokens` of every text.
 
     The vocabulary, of a fixed size, is broadcast. NULL and empty texts count 0. Rows stand
-    alone: repeated rows and NULL keys pass through, and an empty table gives an empty
-    table. Columns of `docs` named like the counts are replaced.
+    alone: repeated rows and NULL keys pass through, long texts are counted whole, and an
+    empty table gives an empty table. Columns of `docs` named like the counts are replaced.
     """
     import pyarrow as pa
 
@@ -162,10 +267,7 @@ def count_tokens(
             _counts.clear()
             counts = _counts[name] = Counts(vocabulary.value)
         for batch in stream:
-            found = [
-                count_text(value.as_py(), counts) if value.is_valid else (0, 0)
-                for value in batch.column(len(keep))
-            ]
+            found = count_texts([value.as_py() or "" for value in batch.column(len(keep))], counts)
             new_columns = [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new_columns], [*keep, *new])
 

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from postlens.llm import blocks, jaccard, shingles
 from postlens.llm.graph import components
@@ -97,6 +98,23 @@ def test_one_of_each(spark, family):
     assert kept == {c for _, c, *_ in brute(family)}
 
 
+def test_one_of_each_whatever_the_keys(spark):
+    passage = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [
+        (None, passage, "a"), (None, passage, "b"), (7, passage, "c"), (7, passage, "d"), (9, passage + " more", "e"),
+        (1, "x y", "f"), (5, "x y", "g"), (5, "another text of its own", "h"), (5, "x y", "i"),
+        (None, "only without a key", "j"), (None, "only without a key", "k"), (None, None, "l"), (3, "", "m"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _kept string")
+    docs = docs.withColumns({"key": F.create_map(F.lit("a"), F.lit(1)), "root": F.lit(1), "_key": F.lit("own")})
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns
+    found = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+    assert found == [
+        (0, "only without a key"), (1, "x y"), (3, ""), (5, "another text of its own"), (7, passage)
+    ]
+
+
 def test_odd_rows(odd, nothing):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     clash = odd.withColumnRenamed("source", "key").withColumnRenamed("score", "class_id")
@@ -105,7 +123,7 @@ def test_odd_rows(odd, nothing):
     assert jaccard.one_of_each(nothing).count() == 0
     kept = jaccard.one_of_each(odd)
     assert kept.columns == odd.columns
-    expected = [str(i) for i, class_id, *_ in brute(rows).elements() if i == class_id]
+    expected = {str(class_id) for _, class_id, *_ in brute(rows)}
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(expected)
 
 

@@ -29,8 +29,9 @@ def test_quality_keeps_trusted_documents(spark, steps, sf_dir):
     long = steps[0].where(F.size(F.split("text", " ")) > 60).join(labels, "doc_id")
     good, bad = long.where("quality = 1 AND toxic = 0"), long.where("quality = 0")
     kept = steps[1].select("doc_id")
+    # A good document lost counts ten times a bad one kept, so a few bad ones pass.
     assert good.join(kept, "doc_id", "left_anti").count() <= 0.01 * good.count()
-    assert bad.join(kept, "doc_id").count() == 0
+    assert bad.join(kept, "doc_id").count() <= 0.1 * bad.count()
 
 
 def test_one_of_each_group(steps):
@@ -67,6 +68,33 @@ def test_mix_and_tokens(steps):
         assert b"".join(spelled[i] for i in row["ids"]) == texts[row["doc_id"]].encode()
 
 
+def test_odd_rows_through_all_stages(spark, odd, tmp_path):
+    """Columns with the names of results, NULL and repeated keys, and marks of its own."""
+    passage = " ".join(f"word{i} of{i % 7} a text" for i in range(60))
+    mark = chr(0xFFFD)
+    rows = [
+        (1, passage + f" {mark}", "en", "s"), (1, passage + f" {mark}", "en", "s"), (None, passage, "en", None),
+        (None, passage, "en", None), (2, "é" + passage[::-1], "de", "s"), (3, None, None, None), (4, "", "x", "s"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    extra = ["score", "kept", "base_failed", "_one", "_kept", "n_bytes", "id", "key", "run", "size", "copies", "hash"]
+    docs = docs.withColumns({name: F.concat(F.lit(f"own {name} "), F.coalesce("doc_id", F.lit(0))) for name in extra})
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0)], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    texts = {row[1] for row in rows}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        folder = new_folder(spark, "test-stage")
+        stage(spark, docs, str(tmp_path)).write.parquet(folder)
+        before, docs = docs, spark.read.parquet(folder)
+        assert docs.columns == before.columns
+        for row in docs.collect():
+            assert all(row[name] == f"own {name} {row['doc_id'] or 0}" for name in extra)
+            assert row["text"] in texts
+    left = {(r["doc_id"], r["text"]) for r in docs.collect()}
+    assert left <= {(1, passage + f" {mark}"), (2, "é" + passage[::-1])}
+    assert corpus_pipeline.byte_level_bpe(spark, docs, "").where("NOT round_trip").count() == 0
+
+
 def test_nothing(spark, documents, sf_dir):
     docs = documents.where("false")
     for _, stage in corpus_pipeline.STAGES:

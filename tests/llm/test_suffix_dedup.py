@@ -145,6 +145,20 @@ def test_odd_rows(odd, nothing):
 
 def test_no_fragments_of_characters_are_left(spark):
     passage = "é" * 30
-    docs = spark.createDataFrame([(1, "x" + passage), (2, passage[:26] + "☃ rest"), (3, "ok � here")], "doc_id bigint, text string")
+    mark, tail = chr(0xFFFD), "a" * 60
+    rows = [
+        (1, "x" + passage), (2, passage[:26] + "☃ rest"), (3, f"ok {mark} here"),
+        (4, "é" + tail), (5, f"x{mark}y ũ" + tail), (6, "ã" + passage[:30] + mark),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     left = {r["doc_id"]: r["text"] for r in suffix_dedup.without_repeats(docs).collect()}
-    assert left == {1: "x" + passage, 2: "☃ rest", 3: "ok � here"}
+    assert left[1] == "x" + passage and left[2] == "☃ rest" and left[3] == f"ok {mark} here"
+    assert left[4] == "é" + tail and left[5] == f"x{mark}y " and left[6] == "ã" + mark
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ["kept", "n_bytes", "n_removed", "n_spans", "id", "key", "run", "rest", "text_", "_0", "_id"]
+    rows = [(i, "z" * 40 + "y" * 40, *(f"{n}{i}" for n in names)) for i in (1, 2)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    found = suffix_dedup.without_repeats(docs).orderBy("doc_id").collect()
+    assert [tuple(r) for r in found] == [rows[0], (2, "", *rows[1][2:])]

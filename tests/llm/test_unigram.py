@@ -37,20 +37,31 @@ def test_query(spark, sf_dir, texts, library):
 
 def test_strange_and_long_pretokens(scores, library):
     random.seed(7)
-    counts = unigram.Counts(scores, nodes=500)
+    counts = unigram.Counts(scores, known=100)
     letters = [chr(c) for c in (*range(0x21, 0x250), *range(0x390, 0x500), *range(0x1F600, 0x1F640))]
-    for _ in range(800):
-        word = "".join(random.choices(letters, k=random.choice([1, 3, 9, 63, 64, 65, 200])))
-        assert counts[word] == len(library.encode(word).ids)
-
-
-def test_prefixes_are_scored_once(scores, monkeypatch):
-    counts, seen = unigram.Counts(scores), []
-    step = counts.step
-    monkeypatch.setattr(counts, "step", lambda word, end, *a: seen.append(word[:end]) or step(word, end, *a))
-    for word in ("stations", "station", "stationary", "stat", "stations"):
-        counts[word]
-    assert len(seen) == len(set(seen)) == len("stationary") + 1
+    for _ in range(20):
+        words = {"".join(random.choices(letters, k=random.choice([1, 3, 9, 63, 64, 65, 200]))) for _ in range(40)}
+        words |= {word[:k] for word in words for k in (2, 5, 62)}
+        counts.learn(counts.new(words))
+        assert all(counts[word] == len(library.encode(word).ids) for word in words)
+
+
+def test_the_trie_agrees_with_single_steps(scores):
+    random.seed(8)
+    plain = unigram.Counts(scores)
+    pieces = random.sample(sorted(scores), 400) + ["é", "☃", "a", " ", "\t", "\x00", "\r"]
+    words = {"".join(random.choices(pieces, k=random.randint(1, 8))).replace("\n", "")[:64] for _ in range(3000)}
+    counts = unigram.Counts(scores)
+    counts.learn(list(words))
+    assert all(counts[w] == plain._walked(w.replace(" ", unigram.SPACE)) for w in words)
+
+
+def test_prefixes_are_scored_once(scores):
+    counts = unigram.Counts(scores)
+    counts.learn(["stations", "station", "stationary", "stat"])
+    assert counts.scored == len("stationary") + 1
+    counts["stations"]
+    assert counts.scored == len("stationary") + 1
 
 
 def test_ties_prefer_the_longest_last_piece():

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.llm import bpe, jaccard, mixing, quality, suffix_dedup
-from postlens.llm.common import document_rows
+from postlens.llm.common import document_rows, free_prefix
 from postlens.llm.queries import RANKS
 from postlens.workspace import new_folder
 
@@ -21,8 +21,8 @@ from postlens.workspace import new_folder
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the likelihood ratio keep."""
     model = quality.fit_model(docs, document_rows(spark, sf_dir, "labels"))
-    judged = quality.judge_quality(docs, model.ratios, threshold=model.threshold, folds=model.folds)
-    return judged.where("kept").select(*docs.columns)
+    prefix = free_prefix(docs)
+    return quality.judge_quality(docs, model, prefix=prefix).where(f"{prefix}kept").select(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,7 @@ from ..sample_lexicon import sample_raw
 from ..schemas import CHAINED_PAGE
 from ..sizing import spread
 from ..sources import (
+    field_kinds,
     first_polarity,
     has_next,
     infer_schema,
@@ -56,6 +57,7 @@ from ..sources import (
     rule_ids,
     rules_table,
     sample_file,
+    schema_drift,
     store_rules,
     union_posts,
     word_polarity,
@@ -442,6 +444,20 @@ def json_infer_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_lines(spark, path, infer_schema(spark, sample_file(spark, path)))
 
 
+def drifted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in two landings; in the second one field is new and another is text at times."""
+    time = F.col("ts").cast("string").alias("time")
+    events = _table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value", time)
+    path = new_folder(spark, "events")
+    number = F.struct("value", "time").alias("reading")
+    events.where("event_type != 'purchase'").select("event_id", "user_id", number).write.json(path)
+    shown = F.struct(F.col("value").cast("string").alias("value"), "time").alias("reading")
+    later = events.where("event_type = 'purchase'")
+    later.select("event_id", "user_id", shown, F.array("event_type").alias("tags")).write.mode("append").json(path)
+    drift = schema_drift(field_kinds(spark, path))
+    return drift.select(F.array_join("path", "/").alias("path"), F.array_join("kinds", " ").alias("kinds"), "n_values", "conflict")
+
+
 def _stream_line() -> Column:
     post = F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text"))
     return post.alias("data")
@@ -655,6 +671,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "array_to_text": array_to_text,
     "map_pair": map_pair,
     "json_infer_scan": json_infer_scan,
+    "schema_drift": drifted_events,
     "flatten_pages": flatten_pages,
     "union_pages": union_pages,
     "page_has_next": page_has_next,

@@ -211,6 +211,17 @@ WHERE word = '{LOOKUP_TOKEN}' GROUP BY conv_id, turn""",
     "map_pair": "SELECT p_partkey, p_name AS name, p_type AS type FROM part",
     "json_infer_scan": """SELECT event_id, CAST(ts AS VARCHAR) AS ts, user_id, event_type, value, props
 FROM events""",
+    "schema_drift": """WITH e AS (
+    SELECT *, event_type = 'purchase' AS later, ts IS NOT NULL AS timed, value IS NOT NULL AS valued FROM events
+)
+SELECT 'event_id' AS path, 'BIGINT' AS kinds, count(*) AS n_values, false AS conflict FROM e
+UNION ALL SELECT 'user_id', 'BIGINT', count(user_id), false FROM e
+UNION ALL SELECT 'reading', 'OBJECT', count(*), false FROM e
+UNION ALL SELECT 'reading/time', 'STRING', count(ts), false FROM e
+UNION ALL SELECT 'reading/value', string_agg(DISTINCT CASE WHEN later THEN 'STRING' ELSE 'DOUBLE' END, ' '
+    ORDER BY CASE WHEN later THEN 'STRING' ELSE 'DOUBLE' END), count(value), count(DISTINCT later) > 1 FROM e WHERE valued
+UNION ALL SELECT 'tags', 'ARRAY', count(*), false FROM e WHERE later
+UNION ALL SELECT 'tags/[]', 'STRING', count(*), false FROM e WHERE later""",
     "flatten_pages": f"WITH {_DOCUMENT_LINES} SELECT doc_id || '-' || i AS id, text FROM lines",
     "union_pages": """SELECT conv_id, turn, text FROM conversations WHERE role = 'user'
 UNION ALL BY NAME SELECT turn, conv_id, role, text FROM conversations WHERE role <> 'user'""",

@@ -1,5 +1,6 @@
 """Readers: paged responses, JSON lines, lexicon files, token tables, rule responses."""
 
+from .drift import field_kinds, merged_schema, schema_drift
 from .lexicon import (
     first_polarity,
     parse_keyed,
@@ -16,9 +17,11 @@ from .tables import read_tokens
 
 __all__ = [
     "bounded",
+    "field_kinds",
     "first_polarity",
     "has_next",
     "infer_schema",
+    "merged_schema",
     "page_counts",
     "page_posts",
     "parse_keyed",
@@ -35,6 +38,7 @@ __all__ = [
     "rule_ids",
     "rules_table",
     "sample_file",
+    "schema_drift",
     "store_rules",
     "stream_lines",
     "token_rows",

@@ -1,9 +1,11 @@
 """Order MinHash fingerprints of texts.
 
 The k-mers of a text, here `K` words, are numbered by occurrence, so that repeats differ,
-and hashed. The hash space is divided into bins. In each bin the `TUPLE` k-mers of least
-hash are selected, put back into the order of the text, and hashed as a tuple: the
-fingerprint changes where k-mers are replaced, and also where they change places.
+and hashed. The hash space is a ring, divided into bins. From the beginning of each bin on,
+the two k-mers of least hash are selected, put back into the order of the text, and hashed as
+a pair: the fingerprint changes where k-mers are replaced, and also where they change
+places. A short text leaves bins with one k-mer or none; their pairs reach into the bins
+that follow, the first after the last, so that every pair of two k-mers has an order.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from postlens.llm.common import words
 from postlens.workspace import new_folder
 
 K = 3
-TUPLE = 2
+TUPLE = 2  # the k-mers of a pair
 BIN_BITS = 6
 BINS = 1 << BIN_BITS
 
@@ -49,8 +51,8 @@ def with_fingerprint(docs: DataFrame, text: str, out: str) -> DataFrame:
     """Adds `out`, an array with a 32-bit number for each bin, all within the row.
 
     Near its end a text has k-mers of fewer words, so that short texts have some too. A
-    text without words has only empty bins. NULL counts as empty. Equal texts have equal
-    fingerprints.
+    text without words has only empty bins; of one with a single k-mer all bins are its
+    hash. NULL counts as empty. Equal texts have equal fingerprints.
     """
     step = docs.withColumn("_w", F.transform(words(F.col(text)), lambda w: F.xxhash64(w)))
     w = F.col("_w")
@@ -85,19 +87,35 @@ def with_fingerprint(docs: DataFrame, text: str, out: str) -> DataFrame:
     begins = lambda i: (i == 0) | (F.get(c, i)["b"] != F.get(c, i - 1)["b"])
     step = step.withColumn("_heads", F.filter(_places(F.size(c)), begins))
 
-    def tuple_hash(head: Column) -> Column:
-        """The selected hashes of a bin in order of the text, as one number but `EMPTY`."""
-        found = [F.get(c, head + j) for j in range(TUPLE)]
-        same = [F.when(x["b"] == found[0]["b"], x["h"]) for x in found]
-        number = F.pmod(F.xxhash64(*same), F.lit(2**32 - 1)) - 2**31 + 1
+    def pair_hash(head: Column, j: Column) -> Column:
+        """The pair that begins with the bin at `head`, the j-th filled one, but `EMPTY`."""
+        one, two = F.get(c, head), F.get(c, head + 1)
+        after = F.get("_heads", (j + 1) % F.size("_heads"))
+        low, high = F.get(c, after), F.get(c, after + 1)
+        least = F.when((high["b"] == low["b"]) & (high["h"] < low["h"]), high).otherwise(low)
+        # One k-mer in the bin: the other is the least of the next filled bin, if there is one.
+        lone = F.when(after == head, F.xxhash64(one["h"])).when(
+            one["i"] < least["i"], F.xxhash64(one["h"], least["h"])
+        ).otherwise(F.xxhash64(least["h"], one["h"]))
+        pair = F.when(two["b"] == one["b"], F.xxhash64(one["h"], two["h"])).otherwise(lone)
+        number = F.pmod(pair, F.lit(2**32 - 1)) - 2**31 + 1
         return F.when(number == EMPTY, F.lit(2**31 - 1)).otherwise(number).cast("int")
 
     hashes = F.map_from_arrays(
-        F.transform("_heads", lambda i: F.get(c, i)["b"]), F.transform("_heads", tuple_hash)
+        F.transform("_heads", lambda i: F.get(c, i)["b"]), F.transform("_heads", pair_hash)
     )
     step = step.withColumn("_hashes", hashes).drop("_heads", "_c")
-    filled = F.transform(_by_bin("_hashes", "array<int>"), lambda x: F.coalesce(x, F.lit(EMPTY)))
-    return step.withColumn(out, filled).drop("_hashes")
+    step = step.withColumn("_filled", F.map_keys("_hashes"))
+
+    def of_bin(b: Column) -> Column:
+        """The pair of a bin, or of the first filled one that follows it."""
+        following = F.coalesce(F.get(F.filter("_filled", lambda x: x > b), 0), F.get("_filled", 0))
+        return F.coalesce(F.try_element_at("_hashes", b), F.try_element_at("_hashes", following))
+
+    numbers = F.sequence(F.lit(-BINS // 2), F.lit(BINS // 2 - 1))
+    whole = F.when(F.size("_filled") > 0, F.transform(numbers, of_bin))
+    nothing = F.transform(numbers, lambda b: F.lit(EMPTY))
+    return step.withColumn(out, F.coalesce(whole, nothing)).drop("_hashes", "_filled")
 
 
 def _with_occurrences(step: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 
 # Remembered parts, and links of them; a worker forgets all beyond either.
-PARTS = 500_000
+PARTS = 800_000
 LINKS = 8_000_000
 
 # Code points that are, to some library, white space, a mark of it or without width; other
@@ -38,7 +38,7 @@ CUT = re.compile(f"(?<={_PLAIN}) (?={_PLAIN})")
 PLAIN_PART = re.compile(f" {_PLAIN}(?:.*{_PLAIN})?\\Z", re.DOTALL)
 
 # A part of characters whose kind no edition of the libraries' tables disputes.
-LATIN_PART = re.compile(r" [!-~\xa1-\xac\xae-\u024f](?:[ -~\xa1-\xac\xae-\u024f]*[!-~\xa1-\xac\xae-\u024f])?\Z")
+LATIN_PART = re.compile(r" [!-~\xa1-\xac\xae-\u024f](?:[\n -~\xa1-\xac\xae-\u024f]*[!-~\xa1-\xac\xae-\u024f])?\Z")
 
 # Fixed value: how a byte-level tokenizer cuts a text before it merges.
 WORDS = (

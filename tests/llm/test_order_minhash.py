@@ -1,6 +1,9 @@
 import hashlib
+import re
 from statistics import mean
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from postlens.llm import order_minhash
@@ -35,6 +38,54 @@ def test_query(spark, sf_dir, texts):
     assert not rows
 
 
+def chained(*parts):
+    """Spark's 64-bit hash of strings, of 64-bit numbers, and of a last 32-bit one as bytes."""
+    seed = 42
+    for part in parts:
+        data = part.encode() if isinstance(part, str) else part if isinstance(part, bytes) else part.to_bytes(8, "little", signed=True)
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def brute_fingerprint(text):
+    words = [chained(w) for w in re.findall(r"[^\x20\x09-\x0d]+", text or "")]
+    kmers, seen = [], {}
+    for i in range(len(words)):
+        kmer = chained(*words[i : i + 3])
+        n = seen[kmer] = seen.get(kmer, -1) + 1
+        kmers.append((chained(kmer, n.to_bytes(4, "little")) if n else kmer, i))
+    ring = sorted(kmers)
+    found = []
+    for b in range(-32, 32):
+        if not ring:
+            found.append(0)
+            continue
+        start = next((p for p, (h, _) in enumerate(ring) if h >> 58 >= b), 0)
+        pair = sorted({ring[start], ring[(start + 1) % len(ring)]}, key=lambda x: x[1])
+        number = chained(*(h for h, _ in pair)) % (2**32 - 1) - 2**31 + 1
+        found.append(number or 2**31 - 1)
+    return found
+
+
+def test_whole_fingerprints(spark, documents, texts, odd):
+    rows = [t for _, t in texts] + [r["text"] for r in odd.collect()] + ["a", "a b", "a a a a", "x y x y x y z"]
+    docs = spark.createDataFrame([(t,) for t in rows], "text string")
+    for r in order_minhash.with_fingerprint(docs, "text", "f").collect():
+        assert r["f"] == brute_fingerprint(r["text"])
+
+
+@pytest.mark.parametrize("size", [60, 200, 600])
+def test_order_counts_alike_in_short_and_long_texts(spark, size):
+    """Halves change places: k-mers stay, the order of about half of the pairs turns."""
+    pairs = []
+    for n in range(30):
+        words = [f"w{n}x{i}" for i in range(size)]
+        pairs.append((" ".join(words), " ".join(words[size // 2 :] + words[: size // 2])))
+    found = mean(likeness(spark, pairs))
+    print(size, found)
+    assert 0.35 < found < 0.55
+
+
 def likeness(spark, pairs):
     docs = spark.createDataFrame(pairs, "a string, b string")
     docs = order_minhash.with_fingerprint(docs, "a", "fa")

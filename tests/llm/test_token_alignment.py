@@ -152,7 +152,7 @@ def test_the_faster_encoder_gives_the_same_ids(texts, tokenizers):
     own = Tokenizers(spec, model)
     rng = random.Random(2)
     words = {" " + w for _, t in texts for w in (t or "").split(" ") if LATIN_PART.match(" " + w)}
-    letters = [chr(c) for c in (*range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x250))]
+    letters = ["\n", *(chr(c) for c in (*range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x250)))]
     words |= {" x" + "".join(rng.choices(letters, k=rng.randint(0, 30))) + "y" for _ in range(20_000)}
     assert all(LATIN_PART.match(w) for w in words)
     for word in words:

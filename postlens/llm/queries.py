@@ -175,6 +175,18 @@ _PARSED = """
     regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
   FROM pages"""
 
+# Each pass takes documents in order of hash while they fit, and leaves those that still may.
+_MIX_PASSES = ",\n".join(
+    f"""q{k} AS (
+  SELECT *, upto <= rest AS inside,
+    rest - coalesce(max(CASE WHEN upto <= rest THEN upto END) OVER (PARTITION BY source), 0) AS rest_after
+  FROM (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h) AS upto FROM c{k})
+), c{k + 1} AS (
+  SELECT doc_id, source, size, h, rest_after AS rest FROM q{k} WHERE NOT inside AND size <= rest_after
+)"""
+    for k in range(1, mixing.PASSES + 1)
+)
+
 # SQL for those queries that SQL can express. Hashed n-grams, fingerprints, merges of bytes
 # and slot maps are compared with brute force in the tests instead.
 ORACLE: dict[str, str] = {
@@ -202,10 +214,10 @@ SELECT page_id, strlen(t) AS payload_bytes,
   CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> top THEN top END AS refers_to
 FROM p JOIN r USING (h)""",
-    "op6_mix_sources": r"""
+    "op6_mix_sources": rf"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || chr(31) || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h
   FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -225,11 +237,23 @@ WITH sized AS (
 ), targets AS (SELECT source, source_size, least(coalesce(level * w, cap), cap) AS target FROM levelled),
 budgets AS (
   SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS whole FROM targets
+), c1 AS (
+  SELECT doc_id, s.source, size, h, source_size, target, whole, floor(target - whole * source_size)::BIGINT AS rest
+  FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source
+), {_MIX_PASSES},
+inside_rows AS (
+  {" UNION ALL ".join(f"SELECT doc_id FROM q{k} WHERE inside" for k in range(1, mixing.PASSES + 1))}
+), lefts AS (
+  SELECT *, rest - coalesce(sum(CASE WHEN i.doc_id IS NOT NULL THEN size END) OVER (PARTITION BY source), 0) AS left_over,
+    i.doc_id IS NOT NULL AS inside FROM c1 LEFT JOIN inside_rows i USING (doc_id)
+), extra AS (
+  SELECT doc_id FROM inside_rows
+  UNION ALL SELECT arg_min(doc_id, (abs(size - left_over), h)) FROM lefts
+  WHERE NOT inside AND abs(size - left_over) < left_over GROUP BY source
 )
-SELECT doc_id, s.source, size, source_size, target,
-  size * (whole + CASE WHEN sum(size) OVER (PARTITION BY s.source ORDER BY h)
-    <= floor(target - whole * source_size) THEN 1 ELSE 0 END)::BIGINT AS taken
-FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source""",
+SELECT c.doc_id, source, size, source_size, target,
+  size * (whole + CASE WHEN x.doc_id IS NULL THEN 0 ELSE 1 END)::BIGINT AS taken
+FROM c1 c LEFT JOIN extra x USING (doc_id)""",
     "op9_suffix_dedup": """
 WITH d AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents

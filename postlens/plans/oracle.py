@@ -140,15 +140,15 @@ _ALL_WORDS = f"""lexicon AS (
     SELECT word, (['neutral', 'positive', 'negative'])[length(word) % 3 + 1] AS polarity
     FROM (SELECT DISTINCT unnest({_WS.format("text")}) AS word FROM documents) WHERE word <> '')"""
 
-# Pages of a source in order of document; every tenth was lost, which cuts the chain.
+# Pages of a source in order of document; every seventh was lost, which cuts the chain.
 _CHAINS = """placed AS (
     SELECT doc_id, source, lag(doc_id) OVER w AS before, lead(doc_id) OVER w AS after,
-        count(*) FILTER (doc_id % 10 = 3) OVER w AS lost
+        count(*) FILTER (doc_id % 7 = 3) OVER w AS lost
     FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)
 ), chains AS (
-    SELECT source AS account, count(*) AS n_pages, max_by(after, doc_id)::VARCHAR AS missing,
+    SELECT source AS account, count(*) AS n_pages, CASE WHEN bool_and(after IS NOT NULL) THEN max(after)::VARCHAR END AS missing,
         CASE WHEN bool_and(before IS NOT NULL) THEN min(doc_id)::VARCHAR END AS first_token
-    FROM placed WHERE doc_id % 10 <> 3 GROUP BY source, lost
+    FROM placed WHERE doc_id % 7 <> 3 GROUP BY source, lost
 )"""
 
 

@@ -80,7 +80,9 @@ def segments(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
                     heads - base,
                     windows,
                     anchor[heads] - base,
-                    hashes[anchor[heads]].view(np.int64),
+                    # An anchor has the least hash of many, so that its hash lies near 0. Mixed
+                    # once more, anchors are spread evenly over the ranges that are merged.
+                    mixed(hashes[anchor[heads]]).view(np.int64),
                 ]
             )
         )

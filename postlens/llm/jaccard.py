@@ -242,6 +242,11 @@ def near_duplicates(
     every pair of a candidate cluster is compared, whatever its size.
     """
     texts, joined = _text_classes(docs, key, text, width, threshold, recall, hashes)
+    # Written, so that what is joined are two plain shuffles, of which Spark splits the hot
+    # partitions of a text with very many copies.
+    folder = new_folder(docs.sparkSession, "text-classes")
+    joined.write.parquet(folder)
+    joined = docs.sparkSession.read.parquet(folder)
     return (
         texts.select("id", "key")
         .join(joined, "key")

@@ -121,7 +121,11 @@ def run_of(key: Column, runs: int) -> Column:
 def _copies(narrow: DataFrame, run: Column) -> DataFrame:
     """A row for each row whose text one of smaller key has; the least keys alone are sorted."""
     least = narrow.groupBy("key").agg(F.min("id").alias("_least"), F.count(F.lit(1)).alias("_n"))
-    later = narrow.join(least.where("_n > 1").drop("_n"), "key").where(
+    # Written, so that Spark can split the hot partition of a text with very many copies.
+    folder = new_folder(narrow.sparkSession, "least-keys")
+    least.where("_n > 1").drop("_n").write.parquet(folder)
+    least = narrow.sparkSession.read.parquet(folder)
+    later = narrow.join(least, "key").where(
         "id > _least OR (id IS NULL AND _least IS NOT NULL)"
     )
     return later.distinct().select(

@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 from postlens.operators import console_form
 from postlens.plans import (
     account_report,
+    compact_lake,
     follow_lake,
     labels_report,
     lake_report,
@@ -22,7 +23,7 @@ from postlens.plans import (
     tokenize_checked,
     tokenize_lake,
 )
-from postlens.plans.jobs import MAX_FILES
+from postlens.plans.jobs import COMPACT_BYTES, COMPACT_FILES, MAX_FILES
 
 REPORTS = {
     "account-report": account_report,
@@ -31,6 +32,7 @@ REPORTS = {
     "running-report": running_report,
 }
 STREAMS = {
+    "compact": compact_lake,
     "land-live": land_live,
     "tokenize": tokenize_lake,
     "tokenize-checked": tokenize_checked,
@@ -101,7 +103,13 @@ def arguments() -> argparse.Namespace:
         score.add_argument("--edges", default="clean", choices=("clean", "as_reference"))
         score.add_argument("--available-now", action="store_true")
         score.add_argument("--max-files", type=int, default=MAX_FILES)
-    for stream in STREAMS:
+    compact = jobs.add_parser("compact", help="a token table of many small files to one of few")
+    compact.add_argument("tokens")
+    compact.add_argument("path")
+    compact.add_argument("checkpoint")
+    compact.add_argument("--files", type=int, default=COMPACT_FILES)
+    compact.add_argument("--max-bytes", type=int, default=COMPACT_BYTES)
+    for stream in STREAMS.keys() - {"compact"}:
         jobs.choices[stream].add_argument("--max-bytes", type=int, help="in the place of --max-files")
     return parser.parse_args()
 

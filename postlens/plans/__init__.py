@@ -2,6 +2,7 @@
 
 from .jobs import (
     account_report,
+    compact_lake,
     follow_lake,
     labels_report,
     lake_report,
@@ -16,6 +17,7 @@ from .jobs import (
 
 __all__ = [
     "account_report",
+    "compact_lake",
     "follow_lake",
     "labels_report",
     "lake_report",

@@ -66,6 +66,7 @@ from ..streaming import add_rules, read_batch_counts, read_checked_tokens, read_
 from ..workspace import new_folder
 from .jobs import (
     account_report,
+    compact_lake,
     follow_lake,
     labels_report,
     lake_report,
@@ -494,6 +495,14 @@ def streamed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _token_counts(lake.select(F.col("text").alias("tokens")))
 
 
+def compacted_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token table in fewer files, and whether they are fewer."""
+    tokens, path = _token_lake(spark, sf_dir), new_folder(spark, "compact")
+    run_available(compact_lake(spark, tokens, path, new_folder(spark, "compact-checkpoint"), files=1), STREAM_TIMEOUT)
+    fewer = len(read_tokens(spark, path).inputFiles()) < len(read_tokens(spark, tokens).inputFiles())
+    return read_tokens(spark, path).select("id", F.size("text").alias("n_tokens"), F.lit(fewer).alias("fewer_files"))
+
+
 def stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lake_report(spark, _token_lake(spark, sf_dir), _sample_lexicon_file(spark))
 
@@ -685,6 +694,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "match_rules_semi": ruled_posts,
     "stream_tokens": streamed_tokens,
     "stream_report": stream_report,
+    "stream_compacted": compacted_tokens,
     "stream_labels": stream_labels,
     "stream_labels_report": stream_labels_report,
     "stream_running_report": stream_running_report,

@@ -50,6 +50,10 @@ from ..streaming import (
 # Accounts that a message about missing pages names.
 NAMED_GAPS = 5
 
+# What a compacting micro-batch takes at most, and the files it makes of it.
+COMPACT_BYTES = 2 * 1024 * 1024 * 1024
+COMPACT_FILES = 16
+
 # Input files of a micro-batch, so that a backlog is not one batch that is repeated whole.
 MAX_FILES = 1_000
 
@@ -145,6 +149,26 @@ def tokenize_lake(
     return start_tokens(rows, path, checkpoint, available_now, row_group_bytes)
 
 
+def compact_lake(
+    spark: SparkSession,
+    tokens: str,
+    path: str,
+    checkpoint: str,
+    files: int = COMPACT_FILES,
+    available_now: bool = True,
+    max_bytes: int = COMPACT_BYTES,
+) -> StreamingQuery:
+    """A token table of many small files to one of few, batch by batch, by default what is there.
+
+    The new folder is a token table of its own, with the sink's commit log, so tables and
+    streams that read it see every row once; run again, it adds what has come since. Each
+    micro-batch takes up to `max_bytes` of files that the old table's log names and makes up
+    to `files` of them, without a shuffle. The old folder is left as it is.
+    """
+    rows = stream_tokens(spark, tokens, max_bytes=max_bytes).coalesce(files)
+    return start_tokens(rows, path, checkpoint, available_now)
+
+
 def lake_report(
     spark: SparkSession, tokens: str, lexicon: str, edges: str = "clean"
 ) -> DataFrame:

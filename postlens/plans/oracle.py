@@ -240,6 +240,9 @@ WHERE 'from:' || source IN (SELECT value FROM (VALUES {_RULE_VALUES}) rules(valu
     "stream_report": _LAKE + _REPORT + "pct DESC, label",
     "stream_labels": _LAKE + "SELECT CAST(doc_id AS VARCHAR) AS id, score, label FROM labels",
     "stream_labels_report": _LAKE + _REPORT + "pct DESC, label",
+    "stream_compacted": f"""SELECT CAST(doc_id AS VARCHAR) AS id, len({_NW.format("text")}) AS n_tokens,
+    true AS fewer_files
+FROM documents""",
     "stream_running_report": _LAKE + _REPORT + "pct DESC, label",
     "stream_ruled_tokens": f"""SELECT CAST(doc_id AS VARCHAR) AS id, len({_NW.format("text")}) AS n_tokens,
     source AS account, tag

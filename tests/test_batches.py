@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postlens.operators import label_posts, label_report, prepare_lexicon
-from postlens.plans import tokenize_checked, tokenize_lake
+from postlens.plans import compact_lake, tokenize_checked, tokenize_lake
 from postlens.sources import bounded, read_tokens, rules_table
 from postlens.streaming import (
     add_rules,
@@ -205,6 +205,24 @@ def test_rejected_lines_are_kept_and_counted(spark, tmp_path):
     ]
 
 
+def test_compaction_gives_every_row_once(spark, tmp_path):
+    """Small files become few, over two runs; a stream on the new folder sees no row twice."""
+    new = str(tmp_path / "compact")
+    for number in range(2):
+        for part in range(3):
+            tokens_of(spark, tmp_path, [(f"{number}-{part}-{i}", "so good") for i in range(4)], f"{number}-{part}")
+        run_available(compact_lake(spark, str(tmp_path / "tokens"), new, str(tmp_path / "compact-ck"), files=1), TIMEOUT)
+        follow_on = (
+            stream_tokens(spark, new).writeStream.format("parquet").option("path", str(tmp_path / "seen"))
+            .option("checkpointLocation", str(tmp_path / "seen-ck")).trigger(availableNow=True).start()
+        )
+        run_available(follow_on, TIMEOUT)
+    before, after = read_tokens(spark, str(tmp_path / "tokens")), read_tokens(spark, new)
+    assert len(before.inputFiles()) == 6 and len(after.inputFiles()) == 2
+    assert before.count() == after.count() == 24 and before.exceptAll(after).isEmpty()
+    assert ids(spark.read.parquet(str(tmp_path / "seen"))) == ids(before)
+
+
 def test_batches_bounded_by_bytes(spark, tmp_path):
     write_lines(tmp_path / "lines", "huge.json", [post("0", "word " * 40_000)])
     for i in range(1, 9):

@@ -103,7 +103,12 @@ def test_landing_shuffles_the_text_once(spark, tmp_path, monkeypatch, few):
     for name in "abc":
         (tmp_path / "in" / name).write_text("".join(f"{name} line {i}\n" for i in range(100)))
     numbered = number_text(spark, str(tmp_path / "in"))
-    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    if not few:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == (0 if few else 2) and "rangepartitioning" not in plan
     shared = pathlib.Path(shared_root(spark)) / "postlens"
     counted = max(shared.glob("splits-*"), key=lambda p: p.stat().st_mtime)

@@ -1,6 +1,6 @@
 """Removal of byte strings that also start in a document of smaller key.
 
-Documents are dealt into runs by a hash of their key. Each run sorts its suffixes,
+Documents are dealt into runs by a hash of their key and text. Each run sorts its suffixes,
 front-codes them and sends each hash range of them to one merge, in which a loser tree
 that knows common prefixes puts the runs together; equal suffixes and those that share a
 window are then neighbours. What is covered goes back to the runs as spans.
@@ -58,7 +58,7 @@ def remove_repeats(
     narrow = spark.read.parquet(folder)
     total = narrow.agg(F.sum(F.col("size").cast("bigint"))).first()[0] or 0
     runs = max(1, -(-total // run_bytes))
-    run = run_of(F.col("id"), runs)
+    run = run_of(F.col("id"), F.col("key"), runs)
     texts = docs.select(
         F.col(key).cast("bigint").alias("id"),
         text_key(F.col(text)).alias("key"),
@@ -114,8 +114,9 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return done.select(*(columns[c].alias(c) for c in docs.columns))
 
 
-def run_of(key: Column, runs: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(runs)).cast("int")
+def run_of(key: Column, digest: Column, runs: int) -> Column:
+    """The run of a row, by key and text: rows of one key, or without one, are spread over all."""
+    return F.pmod(F.xxhash64(key, digest), F.lit(runs)).cast("int")
 
 
 def _copies(narrow: DataFrame, run: Column) -> DataFrame:

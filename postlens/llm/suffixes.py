@@ -296,24 +296,29 @@ def _resolved(group: list[tuple[bytes, int, bytes]]) -> Iterator[tuple[int, int,
     """Spans of one anchor's suffixes: whole segments first, then windows of those left."""
     if len(group) < 2:
         return
-    first: dict[bytes, tuple[int, int, bytes]] = {}
+    # Of each key its least id, and the blocks that have it with that id: rows of one id may
+    # lie in several runs, and do not count against each other.
+    first: dict[bytes, tuple[int, list[tuple[int, bytes]]]] = {}
     for key, block, payload in group:
         owner = unpack_from("<q", payload)[0]
         best = first.get(key)
-        if best is None or owner < best[0]:
-            first[key], lost = (owner, block, payload), best
+        lost: list[tuple[int, bytes]] = []
+        if best is None:
+            first[key] = owner, [(block, payload)]
+        elif owner < best[0]:
+            first[key], lost = (owner, [(block, payload)]), best[1]
+        elif owner == best[0]:
+            best[1].append((block, payload))
         else:
-            lost = (owner, block, payload)
-        if lost is not None:
-            if lost[0] == first[key][0]:
-                raise ValueError("one id lies in two runs")
-            for text, start in _places(lost[2]):
-                yield lost[1], text, start, start + key[8] + key[9]
-    left = sorted((owner, key, block, payload) for key, (owner, block, payload) in first.items())
+            lost = [(block, payload)]
+        for lost_block, lost_payload in lost:
+            for text, start in _places(lost_payload):
+                yield lost_block, text, start, start + key[8] + key[9]
+    left = sorted((owner, key) for key, (owner, _) in first.items())
     if len(left) < 2 or left[0][0] == left[-1][0]:
         return
     seen: dict[bytes, int] = {}
-    for owner, key, block, payload in left:
+    for owner, key in left:
         split = 10 + key[8]
         string = key[split:] + key[10:split]
         hits = []
@@ -323,9 +328,10 @@ def _resolved(group: list[tuple[bytes, int, bytes]]) -> Iterator[tuple[int, int,
                     hits[-1][1] = at + LENGTH
                 else:
                     hits.append([at, at + LENGTH])
-        for low, high in hits:
+        for block, payload in first[key][1] if hits else ():
             for text, start in _places(payload):
-                yield block, text, start + low, start + high
+                for low, high in hits:
+                    yield block, text, start + low, start + high
 
 
 def _places(payload: bytes) -> Iterator[tuple[int, int]]:

@@ -156,6 +156,18 @@ def test_no_fragments_of_characters_are_left(spark):
     assert left[4] == "é" + tail and left[5] == f"x{mark}y " and left[6] == "ã" + mark
 
 
+def test_one_key_over_many_runs(spark):
+    """Rows of one key, and rows without one, lie in many runs and leave each other whole."""
+    random.seed(12)
+    texts = made_texts(500, 13)
+    rows = [(7 if i % 2 else None, t) for i, t in enumerate(texts)] + [(i, t) for i, t in enumerate(made_texts(60, 14))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert found(suffix_dedup.remove_repeats(docs, run_bytes=4_000)) == brute(rows)
+    ids = docs.select("doc_id", suffix_dedup.text_key(docs["text"]).alias("key"))
+    runs = ids.select("doc_id", suffix_dedup.run_of(ids["doc_id"], ids["key"], 16).alias("run")).distinct()
+    assert runs.where("doc_id IS NULL").count() == 16
+
+
 def test_columns_of_any_name_are_kept(spark):
     names = ["kept", "n_bytes", "n_removed", "n_spans", "id", "key", "run", "rest", "text_", "_0", "_id"]
     rows = [(i, "z" * 40 + "y" * 40, *(f"{n}{i}" for n in names)) for i in (1, 2)]

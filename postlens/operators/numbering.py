@@ -94,12 +94,12 @@ def number_text(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_before"),
         F.sum("_lines").over(everything).alias("line_count"),
     )
-    few = fits_broadcast(Size(splits.count(), 48 * splits.count()))
-    sums = F.broadcast(sums) if few else sums
+    number = splits.count()
+    sums = F.broadcast(sums) if fits_broadcast(Size(number, 48 * number)) else sums
     on = (F.col("_task") == F.col("_of_task")) & (F.col("_split") == F.col("_of_split"))
     inside = F.col("_row") - F.col("_first")
     counted = (inside >= 0) & (inside < F.col("_lines"))
-    number = F.when(counted, F.col("_before") + inside + 1).otherwise(
+    line_no = F.when(counted, F.col("_before") + inside + 1).otherwise(
         F.raise_error(F.lit("the splits of the text are not those that were counted")).cast("bigint")
     )
-    return lines.join(sums, on, "left").select("value", number.alias("line_no"), "line_count")
+    return lines.join(sums, on, "left").select("value", line_no.alias("line_no"), "line_count")

@@ -9,11 +9,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
 _local_roots: dict[str, str] = {}
 
+# The folder of the innermost scope, below which new ones go.
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
+
 
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -29,4 +35,21 @@ def shared_root(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path under the shared root that no other run uses. Nothing is created."""
-    return f"{shared_root(spark)}/postlens/{name}-{uuid.uuid4().hex}"
+    return f"{_scope.get() or shared_root(spark) + '/postlens'}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, all intermediate tables that are begun within.
+
+    Whatever is to outlast the scope must be written within it, to a folder named before:
+    a table that is only defined there may read what is then gone. Scopes may be nested.
+    """
+    folder = new_folder(spark, "scope")
+    token = _scope.set(folder)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -43,3 +43,27 @@ def test_a_local_session_keeps_one_folder_of_its_own():
 
 def test_folders_are_never_the_same(spark):
     assert workspace.new_folder(spark, "x") != workspace.new_folder(spark, "x")
+
+
+def test_a_scope_takes_its_tables_away(spark, tmp_path, documents):
+    from pathlib import Path
+
+    from postlens.operators import label_posts, prepare_lexicon
+    from postlens.workspace import new_folder, scratch
+
+    words = spark.createDataFrame([("the", "positive")], "word string, polarity string")
+    kept = str(tmp_path / "labels")
+    with scratch(spark):
+        inner = new_folder(spark, "inner")
+        with scratch(spark):
+            lexicon = prepare_lexicon(words, "salted")
+            label_posts(documents, lexicon, key="doc_id").write.parquet(kept)
+            begun = new_folder(spark, "posts")
+            scope = Path(begun).parent
+            assert any(scope.iterdir())
+        assert not scope.exists() and scope.parent == Path(inner).parent
+    assert not scope.parent.exists()
+    assert spark.read.parquet(kept).count() == documents.count()
+    assert "scope" not in new_folder(spark, "after")
+    with pytest.raises(RuntimeError), scratch(spark):
+        raise RuntimeError("also removed when something fails")

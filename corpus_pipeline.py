@@ -1,7 +1,8 @@
 """From raw documents to token ids, in five stages.
 
 Each stage is a function of (spark, docs, sf_dir). Its result is written as Parquet in
-the shared folder and read again as the next one's `docs`.
+the shared folder and read again as the next one's `docs`; what the stage wrote on its way
+is removed then.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from postlens.llm import bpe, jaccard, mixing, quality, suffix_dedup
 from postlens.llm.common import document_rows, free_prefix
 from postlens.llm.queries import RANKS
-from postlens.workspace import new_folder
+from postlens.workspace import new_folder, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,6 +73,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = document_rows(spark, sf_dir)
     for number, (_, stage) in enumerate(STAGES, 1):
         folder = new_folder(spark, f"stage-{number}")
-        stage(spark, docs, sf_dir).write.parquet(folder)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
     return docs

@@ -102,3 +102,17 @@ def test_nothing(spark, documents, sf_dir):
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
     assert docs.count() == 0
+
+
+def test_a_core_feeds_one_python_worker_at_a_time(spark, odd):
+    """Encoder and decoder in one job kept two workers with a batch each for every core."""
+    docs = odd.withColumns({"lang": F.lit("en"), "digest": F.lit("own")})
+    found = corpus_pipeline.byte_level_bpe(spark, docs, "")
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert found.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "round_trip"]
+    rows = found.collect()
+    assert len(rows) == odd.count() and all(row["round_trip"] for row in rows)
+    with open(public_tokenizers.path(RANKS), "rb") as file:
+        spelled = {rank: token for token, rank in bpe.parse_ranks(file.read()).items()}
+    decoded = sorted(b"".join(spelled[i] for i in row["ids"]).decode() for row in rows)
+    assert decoded == sorted(row["text"] or "" for row in odd.collect())

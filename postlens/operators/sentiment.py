@@ -37,13 +37,16 @@ from pyspark.sql import functions as F
 
 from ..functions import tokenize, without_empty
 from ..lookup import Bloom, bloom
-from ..sizing import fits_broadcast, measure, salted_join
+from ..sizing import Size, counted_hot_keys, fits_broadcast, measure, salted_join
 from ..workspace import new_folder
 
 # Up to here the lexicon travels inside the plan; published lexicons have 5,000 to 15,000 words.
 ROW_WORDS = 20_000
 WORD_BYTES = 256
 
+# The tokens are filtered before their shuffle if no more than this share of them passes.
+WORTH = 0.5
+
 EDGES = ("clean", "as_reference")
 STRATEGIES = ("auto", "row", "broadcast", "salted")
 
@@ -55,6 +58,7 @@ class Lookup(NamedTuple):
     table: DataFrame
     words: dict[str, list[str]]
     known: Bloom | None = None
+    size: Size | None = None
 
 
 def prepare_lexicon(
@@ -78,19 +82,24 @@ def prepare_lexicon(
     table = lexicon.filter(
         F.col("word").isNotNull() & F.col("polarity").isNotNull() & (F.col("polarity") != "")
     ).select("word", "polarity")
-    if strategy in ("auto", "row"):
-        words = _few_words(table, row_words)
+    folder = new_folder(table.sparkSession, "lexicon")
+    # What is looked at first is kept until it is written, so that it is not worked out twice.
+    read = table.persist() if strategy in ("auto", "row") else table
+    try:
+        words = _few_words(read, row_words) if strategy in ("auto", "row") else None
         if words is not None:
             return Lookup("row", table, words)
-    folder = new_folder(table.sparkSession, "lexicon")
-    table.write.parquet(folder)
+        read.write.parquet(folder)
+    finally:
+        if strategy in ("auto", "row"):
+            read.unpersist()
     table = table.sparkSession.read.schema(table.schema).parquet(folder)
     size = measure(table)
     if strategy in ("auto", "broadcast") and fits_broadcast(size):
         return Lookup("broadcast", table, {})
     if strategy in ("row", "broadcast"):
         raise ValueError(f"a lexicon of {size} is too large for the {strategy} strategy")
-    return Lookup("salted", table, {}, bloom(table, "word", size.rows))
+    return Lookup("salted", table, {}, bloom(table, "word", size.rows), size)
 
 
 def _few_words(table: DataFrame, most: int) -> dict[str, list[str]] | None:
@@ -227,9 +236,15 @@ def _score_by_join(cut: DataFrame, lookup: Lookup, keys: list[str], edges: str)
     if lookup.strategy == "broadcast":
         found = words.join(F.broadcast(lookup.table), "word")
     else:
-        if lookup.known is not None:
-            words = words.where(lookup.known.passes(F.col("word")))
-        found = salted_join(words, lookup.table, "word", "inner", [F.col("_row")])
+        passing = words if lookup.known is None else words.where(lookup.known.passes(F.col("word")))
+        passed, hot = counted_hot_keys(passing, "word")
+        looked_up = posts.agg(F.sum(F.greatest("_n", F.lit(0)).cast("bigint"))).first()[0] or 0
+        # A filter that most tokens pass costs more than the shuffle of the others.
+        if passed <= looked_up * WORTH:
+            words = passing
+        found = salted_join(
+            words, lookup.table, "word", "inner", [F.col("_row")], hot, lookup.size and lookup.size.bytes
+        )
     scores = _added_up(found, ["_row", "_n"]).drop("_n")
     kept = posts.select("_row", *keys, "_n").join(scores, "_row", "left")
     return kept.select(*keys, "_n", F.coalesce("score", F.lit(0)).cast("bigint").alias("score"), "_polarity")

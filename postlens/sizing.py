@@ -22,6 +22,9 @@ PARTS_PER_SPLIT = 32
 HOT_KEYS = 1_000
 TRACKED = 20_000
 
+# What one shuffle partition of a table may take for a hash join to build on it.
+BUILD_BYTES = 4 * 1024 * 1024
+
 
 class Size(NamedTuple):
     rows: int
@@ -51,6 +54,11 @@ def hot_keys(facts: DataFrame, on: str) -> dict[str, int]:
     them. The sketch counts too high by at most the rows over `TRACKED`, a fraction of that
     share. Which keys are found changes the plan only, not what is joined.
     """
+    return counted_hot_keys(facts, on)[1]
+
+
+def counted_hot_keys(facts: DataFrame, on: str) -> tuple[int, dict[str, int]]:
+    """The number of rows, and what `hot_keys` finds among them."""
     partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     partitions = max(1, min(partitions, HOT_KEYS))
     row = facts.select(F.col(on).alias("key")).agg(
@@ -58,7 +66,7 @@ def hot_keys(facts: DataFrame, on: str) -> dict[str, int]:
     ).first()
     share = row["n"] / partitions
     found = {x["item"]: -(-x["count"] // max(1, int(share))) for x in row["top"] or () if x["item"] is not None}
-    return {key: parts for key, parts in found.items() if parts > 1}
+    return row["n"], {key: parts for key, parts in found.items() if parts > 1}
 
 
 def salted_join(
@@ -68,17 +76,23 @@ def salted_join(
     how: str,
     spread_by: list[Column],
     hot: dict[str, int] | None = None,
+    dim_bytes: int | None = None,
 ) -> DataFrame:
     """Shuffle join that splits the hot keys of `facts`, each into parts by its share.
 
     `hot` is what `hot_keys` finds, which is asked if it is not given. Only their rows of
     `dim` are repeated, once per part. The salt is a hash of row values, not a random
     number, so a task that is run again sends its rows to the same places. `dim` is known
-    not to fit a broadcast, so the sort-merge join, which can spill, is asked for.
+    not to fit a broadcast. If `dim_bytes`, its measured size, is given and comes to little
+    for a shuffle partition, a hash join builds on it and the facts need not be sorted; else
+    the sort-merge join, which can spill, is asked for.
     """
     hot = hot_keys(facts, on) if hot is None else hot
+    partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = dim_bytes is not None and dim_bytes <= BUILD_BYTES * partitions
+    hint = "shuffle_hash" if small else "merge"
     if not hot:
-        return facts.join(dim.hint("merge"), on, how)
+        return facts.join(dim.hint(hint), on, how)
     kind = facts.schema[on].dataType.simpleString()
     parts = facts.sparkSession.createDataFrame(list(hot.items()), f"`{on}` {kind}, _parts int")
     parts = F.broadcast(parts)
@@ -86,7 +100,7 @@ def salted_join(
     salted = facts.join(parts, on, "left").withColumn("_salt", spread_to).drop("_parts")
     last = F.coalesce("_parts", F.lit(1)) - 1
     repeated = dim.join(parts, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
-    return salted.join(repeated.drop("_parts").hint("merge"), [on, "_salt"], how).drop("_salt")
+    return salted.join(repeated.drop("_parts").hint(hint), [on, "_salt"], how).drop("_salt")
 
 
 def spread(scan: DataFrame) -> DataFrame:

@@ -169,3 +169,35 @@ def test_salted_join_equals_a_plain_join(spark, how):
     )
     plain = facts.join(dim, "k", how)
     assert salted.exceptAll(plain).isEmpty() and plain.exceptAll(salted).isEmpty()
+
+
+def test_a_large_lexicon_is_worked_out_once(spark):
+    """Its words are made by one pass, though they are first counted and then written."""
+    made = spark.sparkContext.accumulator(0)
+
+    def word(i):
+        made.add(1)
+        return (f"w{i}",)
+
+    words = spark.createDataFrame(spark.sparkContext.range(1_000).map(word), "word string").distinct()
+    prepared = prepare_lexicon(words.withColumn("polarity", F.lit("positive")), row_words=10)
+    assert prepared.strategy == "broadcast" and prepared.table.count() == 1_000
+    assert made.value == 1_000
+
+
+def test_salted_plan_without_sort_or_filter_where_they_do_not_help(spark):
+    """All tokens are in the lexicon, so a filter is of no use; a part of it is small, so tokens stay unsorted."""
+    words = spark.range(3_000).select(F.concat(F.lit("w"), "id").alias("word"))
+    polarity = F.get(F.array(*map(F.lit, ("neutral", "positive", "negative"))), (F.col("id") % 3).cast("int"))
+    lexicon = spark.range(3_000).select(F.concat(F.lit("w"), "id").alias("word"), polarity.alias("polarity"))
+    prepared = prepare_lexicon(lexicon, "salted")
+    text = F.concat_ws(" ", F.concat(F.lit("w"), "id"), F.concat(F.lit("w"), (F.col("id") * 7 + 1) % 3_000))
+    posts = spark.range(3_000).select("id", text.alias("text")).union(spark.createDataFrame([(-1, None), (-2, "")], "id long, text string"))
+    labels = label_posts(posts, prepared)
+    plan = plan_of(labels)
+    assert "ShuffledHashJoin" in plan and "xxhash64(word" not in plan
+    assert labels.exceptAll(label_posts(posts, prepare_lexicon(lexicon, "row"))).isEmpty()
+    others = posts.withColumn("text", F.concat_ws(" ", "text", *[F.concat(F.lit(f"x{i}y"), "id") for i in range(5)]))
+    assert "xxhash64(word" in plan_of(label_posts(others, prepared))
+    assert label_posts(others, prepared).exceptAll(label_posts(others, prepare_lexicon(lexicon, "row"))).isEmpty()
+    assert words.count() == prepared.size.rows

@@ -38,6 +38,7 @@ from ..sources import (
 from ..streaming import (
     read_labels,
     read_report,
+    session_with,
     start_checked_tokens,
     start_labels,
     start_landing,
@@ -50,9 +51,10 @@ from ..streaming import (
 # Accounts that a message about missing pages names.
 NAMED_GAPS = 5
 
-# What a compacting micro-batch takes at most, and the files it makes of it.
+# What a compacting micro-batch takes at most, the files it makes of it, and the input of one file.
 COMPACT_BYTES = 2 * 1024 * 1024 * 1024
 COMPACT_FILES = 16
+COMPACT_FILE_BYTES = 256 * 1024 * 1024
 
 # Input files of a micro-batch, so that a backlog is not one batch that is repeated whole.
 MAX_FILES = 1_000
@@ -157,15 +159,25 @@ def compact_lake(
     files: int = COMPACT_FILES,
     available_now: bool = True,
     max_bytes: int = COMPACT_BYTES,
+    file_bytes: int = COMPACT_FILE_BYTES,
 ) -> StreamingQuery:
     """A token table of many small files to one of few, batch by batch, by default what is there.
 
     The new folder is a token table of its own, with the sink's commit log, so tables and
     streams that read it see every row once; run again, it adds what has come since. Each
     micro-batch takes up to `max_bytes` of files that the old table's log names and makes up
-    to `files` of them, without a shuffle. The old folder is left as it is.
+    to `files` of them, without a shuffle. Where they would take in more than `file_bytes`
+    each, it makes as many more as that needs, so what a task reads does not grow with the
+    batch. The old folder is left as it is.
     """
-    rows = stream_tokens(spark, tokens, max_bytes=max_bytes).coalesce(files)
+    # The scan packs its files, as many as fit, in a session whose settings stay its own.
+    packing = {
+        "spark.sql.files.minPartitionNum": files,
+        "spark.sql.files.maxPartitionBytes": file_bytes,
+        "spark.sql.files.openCostInBytes": 0,
+    }
+    most = max(files, -(-max_bytes // file_bytes))
+    rows = stream_tokens(session_with(spark, packing), tokens, max_bytes=max_bytes).coalesce(most)
     return start_tokens(rows, path, checkpoint, available_now)
 
 

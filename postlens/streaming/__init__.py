@@ -12,7 +12,7 @@ from .labels import read_labels, start_labels
 from .landing import start_landing
 from .report import read_report, start_report
 from .run import run_available
-from .tokens import start_tokens, stream_tokens
+from .tokens import session_with, start_tokens, stream_tokens
 
 __all__ = [
     "add_rules",
@@ -23,6 +23,7 @@ __all__ = [
     "read_report",
     "rules_version",
     "run_available",
+    "session_with",
     "start_checked_tokens",
     "start_labels",
     "start_landing",

@@ -56,6 +56,17 @@ def _session_setting(spark: SparkSession, name: str, value: int) -> Iterator[Non
             spark.conf.set(name, before)
 
 
+def session_with(spark: SparkSession, settings: dict[str, object]) -> SparkSession:
+    """A session with the settings this one has now and some of its own."""
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if own.conf.get(name, None) != value:
+            own.conf.set(name, value)
+    for name, value in settings.items():
+        own.conf.set(name, str(value))
+    return own
+
+
 def stream_tokens(
     spark: SparkSession, path: str, max_files: int | None = None, max_bytes: int | None = None
 ) -> DataFrame:

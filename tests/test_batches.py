@@ -223,6 +223,25 @@ def test_compaction_gives_every_row_once(spark, tmp_path):
     assert ids(spark.read.parquet(str(tmp_path / "seen"))) == ids(before)
 
 
+def test_compaction_of_much_is_not_one_task(spark, tmp_path):
+    """One file is asked for, but no task takes in more than a file may; settings stay as they were."""
+    for part in range(12):
+        posts = [(f"{part}-{i}", f"w{part} {' '.join(str(hash((part, i, j))) for j in range(40))}") for i in range(40)]
+        tokens_of(spark, tmp_path, posts, str(part))
+    before = read_tokens(spark, str(tmp_path / "tokens"))
+    sizes = [(tmp_path / "tokens" / name.rsplit("/", 1)[1]).stat().st_size for name in before.inputFiles()]
+    settings = dict(spark.conf.getAll)
+    most = int(2.5 * max(sizes))
+    stream = compact_lake(
+        spark, str(tmp_path / "tokens"), str(tmp_path / "new"), str(tmp_path / "new-ck"), files=1, file_bytes=most
+    )
+    run_available(stream, TIMEOUT)
+    assert dict(spark.conf.getAll) == settings
+    after = read_tokens(spark, str(tmp_path / "new"))
+    assert len(after.inputFiles()) == 6 < len(before.inputFiles()) == 12
+    assert before.count() == after.count() == 480 and before.exceptAll(after).isEmpty()
+
+
 def test_batches_bounded_by_bytes(spark, tmp_path):
     write_lines(tmp_path / "lines", "huge.json", [post("0", "word " * 40_000)])
     for i in range(1, 9):
